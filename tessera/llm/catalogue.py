@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, license_scan, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, license_scan, pii, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": url_filter.query,
+    "op3_pii": pii.query,
     "op4_bpe_round_trip": bpe.query,
+    "op6_fingerprints": fingerprint.query,
+    "op7_toxicity": toxicity.query,
     "op8_benchmark_decontamination": decontaminate.query,
     "op10_license_scans": license_scan.query,
 }
