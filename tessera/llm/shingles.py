@@ -69,10 +69,10 @@ def shingle_hashes(texts: list[bytes], n: int, lower: bool = False) -> tuple[np.
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
         extra = np.zeros(len(short), np.uint64)
-        for j, i in enumerate(short):
-            for w in words[ends[i] - counts[i] : ends[i]]:
-                extra[j] = extra[j] * P + w
-            extra[j] += np.uint64(counts[i])
+        for i in range(n - 1):
+            there = counts[short] > i
+            extra[there] = extra[there] * P + words[(ends - counts)[short[there]] + i]
+        extra += counts[short].astype(np.uint64)
         found, owner = np.r_[found, extra], np.r_[owner, short]
         order = np.argsort(owner, kind="stable")
         found, owner = found[order], owner[order]

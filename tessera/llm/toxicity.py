@@ -198,20 +198,25 @@ def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None =
     found = Features.of(list(spelt.values()), model.vocabulary)
     words = [np.fromiter((ids[w] for w in own), np.int64, len(own)) for own in split]
     labels = np.array(labels, np.float32)
+    kept_back = np.zeros(len(texts), bool)
+    for c in (0, 1):
+        kept_back[np.flatnonzero(labels == c)[4::5]] = True
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for epoch in range(epochs):
         picked: list[tuple[int, int]] = []
-        toxic = [i for i in np.flatnonzero(labels) if len(words[i])]
+        toxic = [i for i in np.flatnonzero((labels == 1) & ~kept_back) if len(words[i])]
         if epoch:
             picked += zip(toxic, Scorer(model).highest([texts[i] for i in toxic])[1])
         for i, own in enumerate(words):
-            if len(own) and not (epoch and labels[i]):
+            if len(own) and not kept_back[i] and not (epoch and labels[i]):
                 starts = window_starts(len(own))
                 picked += [(i, starts[k]) for k in rng.permutation(len(starts))[:WINDOWS_EACH]]
+        if not picked:
+            break
         owner = np.array([i for i, _ in picked])
         n_toxic = labels[owner].sum()
-        weight = np.where(labels[owner] == 1, 0.5 * len(owner) / n_toxic, 0.5 * len(owner) / (len(owner) - n_toxic)).astype(np.float32)
+        weight = np.where(labels[owner] == 1, 0.5 * len(owner) / max(n_toxic, 1), 0.5 * len(owner) / max(len(owner) - n_toxic, 1)).astype(np.float32)
         order = rng.permutation(len(picked))
         for b in range(0, len(order), BATCH):
             part = order[b : b + BATCH]
@@ -231,16 +236,25 @@ def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None =
                 m += 0.1 * (x - m)
                 v += 0.01 * (x * x - v)
                 model.weights[k] -= (rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5) + DECAY * model.weights[k])).astype(np.float32)
+    if len(set(labels[kept_back])) == 2:
+        texts, labels = [t for t, k in zip(texts, kept_back) if k], labels[kept_back]
     logit = Scorer(model)(texts)
     zeros, ones = totals or (int((1 - labels).sum()), int(labels.sum()))
     share = np.where(labels == 1, ones / labels.sum(), zeros / (1 - labels).sum()) * len(labels) / (zeros + ones)
-    a, b = 1.0, 0.0
+    c = np.stack([logit, np.ones_like(logit)])
+
+    def cost(v: np.ndarray) -> float:
+        z = v @ c
+        return float((share * (np.logaddexp(0, z) - labels * z)).sum() + 0.05 * ((v - [1, 0]) ** 2).sum())
+
+    now = np.array([1.0, 0.0])
     for _ in range(30):  # Newton's method on the log loss of the texts, lightly held at 1 and 0
-        p = _sigmoid(a * logit + b)
-        c = np.stack([logit, np.ones_like(logit)])
-        grad = c @ (share * (p - labels)) + 0.1 * np.array([a - 1, b])
-        hess = (c * share * (p * (1 - p) + 1e-6)) @ c.T + 0.1 * np.eye(2)
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(hess, grad), -2, 2)
+        p = _sigmoid(now @ c)
+        step = np.linalg.solve((c * share * (p * (1 - p) + 1e-6)) @ c.T + 0.1 * np.eye(2), c @ (share * (p - labels)) + 0.1 * (now - [1, 0]))
+        while cost(now - step) > cost(now) and abs(step).max() > 1e-9:
+            step = step / 2
+        now = now - step
+    a, b = now
     model.scale, model.shift = float(max(a, 1e-3)), float(b)
     return model
 
