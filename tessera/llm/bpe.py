@@ -14,13 +14,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shingles import small_batches
+
 # The pieces into which a word is cut, and white space as Unicode has it (str.split() has four more).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
 #: Words kept with their ids in each Python worker; at more the store starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 NEVER = np.int64(2**62)
 
 
@@ -248,6 +250,7 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text", to: str
     Whole texts are encoded; special tokens that stand in a text are encoded as such; null and empty texts give
     an empty array. Equal texts give equal ids, rows are independent, and an empty table gives an empty one."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("array<int>")
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -263,6 +266,7 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", to: str
     """Add `to` (string): the tokens of the ids, joined by one space, as the vocabulary's file has no decoder.
     Null or empty ids give the empty string; a null id, or one outside the vocabulary, is left out."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("string")
     def decoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
