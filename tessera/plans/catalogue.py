@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tessera.plans import audits, retrieval, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | text.QUERIES | audits.QUERIES
+SQL: dict[str, str] = retrieval.SQL | text.SQL | audits.SQL
