@@ -155,11 +155,13 @@ ENTITIES_SQL = "SELECT name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FRO
 
 def frequent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words that stand twelve times or more in all conversations."""
-    found = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))).alias("name"))
-    return found.where(~F.col("name").isin("The", "And", "It", "In", "He", "She", "A", "An")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[ \n]+")).alias("w"))
+    names = words.where(F.col("w").rlike("^[A-Z][a-z]+[.,]?$")).select(F.regexp_replace("w", "[.,]", "").alias("name"))
+    return names.where(~F.col("name").isin("The", "And", "It", "In", "He", "She", "A", "An")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
 
 
-NAMES_SQL = r"""SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\b([A-Z][a-z]+)\b', 1)) AS name FROM conversations) WHERE name NOT IN ('The', 'And', 'It', 'In', 'He', 'She', 'A', 'An') GROUP BY 1 HAVING count(*) >= 12"""
+NAMES_SQL = r"""SELECT regexp_replace(w, '[.,]', '') AS name, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[ \n]+')) AS w FROM conversations)
+WHERE regexp_matches(w, '^[A-Z][a-z]+[.,]?$') AND regexp_replace(w, '[.,]', '') NOT IN ('The', 'And', 'It', 'In', 'He', 'She', 'A', 'An') GROUP BY 1 HAVING count(*) >= 12"""
 
 
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
