@@ -210,11 +210,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     held = stored(link_rows(docs.select("doc_id", "text"), words, percent), "rows")
     first = held.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("set_no").agg(F.min("row_key").alias("row_key"))
     keep = first.select("row_key").unionByName(held.where("n_shingles = 0").select("row_key").distinct())
-    own = docs.withColumn("_key", row_key())
-    kept = own.join(keep.withColumnRenamed("row_key", "_key"), "_key", "left_semi")
+    own = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("row_key"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
+    kept = own.join(keep, "row_key", "left_semi")
     # Equal rows share their key: of those with words one stays.
-    repeated = kept.withColumn("_n", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.monotonically_increasing_id()).otherwise(F.lit(-1)))
-    return repeated.dropDuplicates(["_key", "_n"]).select(*docs.columns)
+    once = kept.withColumn("no", F.when(F.col("blank"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return once.dropDuplicates(["row_key", "no"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

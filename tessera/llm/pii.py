@@ -381,7 +381,8 @@ def with_spans(docs: DataFrame, model: Model, column: str = "text") -> DataFrame
         as_rows = lambda x: pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in x], kind)
         return pa.StructArray.from_arrays([as_rows(base), as_rows(spans)], names=["base", "spans"])
 
-    return docs.withColumn("_found", found(F.col(column))).select(*docs.columns, F.col("_found.base").alias("base"), F.col("_found.spans").alias("spans"))
+    kept = [c for c in docs.columns if c not in ("base", "spans")]  # columns of these names are replaced
+    return docs.select(*kept, found(F.col(column)).alias("_found")).select(*kept, F.col("_found.base").alias("base"), F.col("_found.spans").alias("spans"))
 
 
 def mask(text: str, spans: list[dict]) -> str:
@@ -396,13 +397,13 @@ def mask(text: str, spans: list[dict]) -> str:
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with the personal data in text replaced by placeholders; null texts stay null."""
-    held = with_spans(docs.drop("base", "spans"), model or train(docs))
+    held = with_spans(docs.select(F.struct(*docs.columns).alias("row"), "text"), model or train(docs))
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([t if not s or t is None else mask(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
-    return held.withColumn("text", without("text", "spans")).select(*docs.columns)
+    return held.withColumn("text", without("text", "spans")).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def listed(column: str):

@@ -342,8 +342,8 @@ def with_scores(docs: DataFrame, model: Model, column: str = "text", to: str = "
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
     """The rows of docs with a score under limit."""
-    scored = with_scores(docs, train(docs if labelled_docs is None else labelled_docs, labels), to="_score")
-    return scored.where(F.col("_score") < limit).drop("_score")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return with_scores(rows, train(docs if labelled_docs is None else labelled_docs, labels)).where(F.col("score") < limit).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
