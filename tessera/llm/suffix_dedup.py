@@ -33,20 +33,19 @@ def _ranks(order: np.ndarray, new: np.ndarray, rank: np.ndarray) -> None:
 
 
 def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places of a text of small codes, sorted by the `depth` codes that begin there; beyond the end stand zeros.
-    Ranks by 7 codes, then triples of ranks, sort three times as deep each round; only ties are sorted again."""
+    """Places of a text of small codes, sorted by the `depth` codes that begin there; the text is a circle.
+    Ranks by 8 codes, then triples of ranks, sort three times as deep each round; only ties are sorted again."""
     n = len(codes)
-    wide = np.r_[codes, np.zeros(8, np.uint8)]
+    wide = np.resize(codes, n + 8)
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | wide[i : i + n]
     order = np.argsort(key)
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    rank = np.empty(n + 2 * depth, np.int64)
-    rank[n:] = -1
-    _ranks(order, new, rank[:n])
-    done, bits = 8, max(1, (n + 1).bit_length())
+    rank = np.empty(n, np.int64)
+    _ranks(order, new, rank)
+    done, bits = 8, max(1, n.bit_length())
     parts = 3 if 3 * bits <= 63 else 2
     while done < depth:
         tied = np.flatnonzero(~(new & np.r_[new[1:], True]))  # positions in groups of two and more
@@ -56,12 +55,12 @@ def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
         step = min(done, (depth - done + parts - 2) // (parts - 1))
         key = rank[at].astype(np.uint64)
         for k in range(1, parts):
-            key = (key << np.uint64(bits)) | (rank[at + k * step] + 1).astype(np.uint64)
+            key = (key << np.uint64(bits)) | rank[(at + k * step) % n].astype(np.uint64)
         sub = np.argsort(key)
         order[tied], key = at[sub], key[sub]
         fresh = np.r_[True, key[1:] != key[:-1]]
         new[tied] = fresh
-        _ranks(order, new, rank[:n])
+        _ranks(order, new, rank)
         done += (parts - 1) * step
     return order
 
@@ -70,7 +69,7 @@ def short_prefixes(order: np.ndarray, codes: np.ndarray, most: int) -> np.ndarra
     """For each position in order but the first: how many codes its suffix shares with the one before, counted up
     to `most` (compared directly)."""
     n = len(codes)
-    wide = np.r_[codes, np.zeros(most, np.uint8)]
+    wide = np.resize(codes, n + most)
     shared = np.full(n, most, np.int32)
     if n:
         shared[0] = -1
