@@ -130,7 +130,8 @@ def repeated_starts(contents: list[bytes], length: int) -> list[np.ndarray]:
     """For each string, where a substring of so many bytes begins that begins elsewhere too, in any of them."""
     joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
     alphabet = np.unique(joined)
-    codes = np.searchsorted(alphabet, joined).astype(np.uint8)
+    codes = (np.searchsorted(alphabet, joined) + 1).astype(np.uint8)  # UTF-8 never has all byte values
+    codes[np.cumsum([len(c) + 1 for c in contents]) - 1] = 0  # separators, which equal no byte of a text
     order = sorted_suffixes(codes, length)
     same = unseparated(order, codes, length)
     again = np.zeros(len(codes), bool)
