@@ -21,8 +21,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
-#: Words kept with their ids in each Python worker; at more the store starts anew.
-CACHE_WORDS = 150_000
+#: Words, and pieces of words, kept with their ids in each Python worker; at more the store starts anew.
+CACHE_WORDS, CACHE_PIECES = 400_000, 300_000
+#: Longer pieces are merged with a heap.
+SHORT_PIECE = 40
 NEVER = np.int64(2**62)
 
 
@@ -54,12 +56,17 @@ class WordBpe:
             self.tokens[i] = token
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         self.letters = _byte_letters()
-        self.longest = max(map(len, vocab))
+        self.reach: dict[str, int] = {}  # the longest token that does not end a word, by its first two letters
+        for t in vocab:
+            if not t.endswith(END):
+                self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.short: dict[int, int] = {}  # the same with pairs, and rank and token, as one number
         left, right, born = (np.full(self.n, x, np.int64) for x in (-1, -1, -1))
         for rank, (a, b) in enumerate(merges):
             ia, ib, made = vocab[a], vocab[b], vocab[a + b]
             self.ranks[ia, ib] = rank, made
+            self.short[ia << 20 | ib] = rank << 20 | made
             if left[made] < 0:
                 left[made], right[made], born[made] = ia, ib, rank
         self.left, self.right, self.born = left, right, born
@@ -67,6 +74,7 @@ class WordBpe:
         order = np.argsort(pairs)
         self.pairs, self.pair_ranks = pairs[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         self.cache: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self._reset()
         utf8 = [t.encode() for t in self.tokens]
         self.token_len = np.array([len(t) for t in utf8], np.int64)
@@ -107,13 +115,13 @@ class WordBpe:
 
     def greedy(self, word: str) -> list[int]:
         """The longest tokens from left to right; the last one must be one that ends a word."""
-        vocab, out, at, n = self.vocab, [], 0, len(word)
+        vocab, reach, out, at, n = self.vocab, self.reach, [], 0, len(word)
         while at < n:
             whole = vocab.get(word[at:] + END)
             if whole is not None:
                 out.append(whole)
                 break
-            for end in range(min(n - 1, at + self.longest), at, -1):
+            for end in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
                 token = vocab.get(word[at:end])
                 if token is not None:
                     out.append(token)
@@ -122,9 +130,21 @@ class WordBpe:
         return out
 
     def merged(self, word: str) -> list[int]:
-        """Exact merging: always the pair of least rank, of equal ones the leftmost; a heap holds the pairs."""
+        """Exact merging: always the pair of least rank, of equal ones the leftmost."""
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
         n = len(ids)
+        if n <= SHORT_PIECE:
+            none, find = 1 << 60, self.short.get
+            found = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+            while found and (least := min(found)) < none:
+                i = found.index(least)
+                ids[i : i + 2] = [least & 0xFFFFF]
+                del found[i]
+                if i:
+                    found[i - 1] = find(ids[i - 1] << 20 | ids[i], none)
+                if i < len(found):
+                    found[i] = find(ids[i] << 20 | ids[i + 1], none)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.ranks]
         heap = [(r, i, made, p) for r, made, i, p in heap]
@@ -169,7 +189,13 @@ class WordBpe:
                 spelt = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
                 own.append(pieces.setdefault(spelt, len(pieces)))
             made.append(own)
-        ids = self.encode_pieces(list(pieces))
+        known = self.pieces
+        fresh = [p for p in pieces if p not in known]
+        if len(known) + len(fresh) > CACHE_PIECES:
+            known.clear()
+            fresh = list(pieces)
+        known.update(zip(fresh, self.encode_pieces(fresh)))
+        ids = [known[p] for p in pieces]
         flat = [[x for p in own for x in ids[p]] for own in made]
         lens = np.fromiter(map(len, flat), np.int64, len(flat))
         first = len(self.cache)
