@@ -4,6 +4,7 @@ trained in numpy; every overlapping window of a text is scored, and the text by
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -301,9 +302,6 @@ class Scorer:
         return out, where
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def held_out(column: str = "doc_id"):
     """Rows that labels are not learnt from: crc32(id as text) mod 5 is 0; null ids are not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
@@ -330,12 +328,10 @@ def with_scores(docs: DataFrame, model: Model, column: str = "text", to: str = "
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        scorer = _SCORERS.get(held.id) if hasattr(held, "id") else None
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[getattr(held, "id", 0)] = Scorer(held.value)
-        return pa.array(scorer.model.probability(scorer(byte_rows(texts))).astype(np.float64))
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(held.value)
+        for texts in parts:
+            yield pa.array(scorer.model.probability(scorer(byte_rows(texts))).astype(np.float64))
 
     return docs.withColumn(to, scored(F.col(column)))
 
