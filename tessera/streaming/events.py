@@ -28,7 +28,7 @@ def tumbling_counts(stream: DataFrame, time: str = "ts", size: str = "10 minutes
 
 def drop_repeated_turns(stream: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     """Turns (conv_id, speaker, ts, text) that differ from the last one of their speaker, or come later than the
-    gap. State: the last turn of each conversation and speaker, dropped after the gap without news."""
+    gap. State: the last turn of each conversation and speaker, dropped once the watermark is past the gap."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,7 +44,8 @@ def drop_repeated_turns(stream: DataFrame, gap_seconds: int = 3600) -> DataFrame
                 last_text, last_ts = text, seconds
             yield part[kept]
         state.update((last_text, last_ts))
-        state.setTimeoutDuration(gap_seconds * 1000)
+        state.setTimeoutTimestamp(max((last_ts + gap_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
 
     columns = "conv_id long, speaker string, ts timestamp, text string"
-    return stream.select("conv_id", "speaker", "ts", "text").groupBy("conv_id", "speaker").applyInPandasWithState(step, columns, "text string, seconds long", "append", "ProcessingTimeTimeout")
+    rows = stream.select("conv_id", "speaker", "ts", "text").withWatermark("ts", f"{gap_seconds} seconds")
+    return rows.groupBy("conv_id", "speaker").applyInPandasWithState(step, columns, "text string, seconds long", "append", "EventTimeTimeout")
