@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
+from tessera.operators.vectors import calibrate, corrected
 
 BLOCK = 512
 
@@ -80,10 +81,10 @@ f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, c
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, n_lanes DESC, doc_id) AS rank FROM f QUALIFY rank <= 20"""
 
 
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topk(rows: DataFrame) -> DataFrame:
     """The ten nearest vectors of every fiftieth one: blocks of searches meet blocks of rows, and each meeting
     passes on ten rows for each search at most."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    spark = rows.sparkSession
     block = lambda df, of: df.groupBy(of.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows")).drop("block")
     searches = block(rows.where("vec_id % 50 = 0"), F.floor(F.col("vec_id") / (50 * BLOCK))).withColumnRenamed("rows", "searches")
     met = block(rows, F.floor(F.col("vec_id") / BLOCK)).crossJoin(searches)
@@ -102,6 +103,17 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(found, [F.desc("score"), F.asc("vec_id")], ["query_id"], 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def anisotropy_corrected_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cosine_topk, on vectors without the corpus mean and strongest direction. No SQL: the power iteration."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = calibrate(rows)
+    return _topk(rows if found is None else rows.select("vec_id", corrected(F.col("embedding"), *found).alias("embedding")))
+
+
 COSINE_SQL = """
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
@@ -228,6 +240,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "metadata_lane": metadata_lane,
     "cosine_topk": cosine_topk,
+    "anisotropy_corrected_topk": anisotropy_corrected_topk,
     "npmi_edges": npmi_edges,
     "learned_partners": learned_partners,
     "two_hop_expand": two_hop_expand,
