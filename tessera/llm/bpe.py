@@ -22,7 +22,7 @@ SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
 #: Words, and pieces of words, kept with their ids in each Python worker; at more the store starts anew.
-CACHE_WORDS, CACHE_PIECES = 400_000, 300_000
+CACHE_WORDS, CACHE_PIECES = 200_000, 150_000
 #: Longer pieces are merged with a heap.
 SHORT_PIECE = 40
 NEVER = np.int64(2**62)
@@ -60,33 +60,32 @@ class WordBpe:
         for t in vocab:
             if not t.endswith(END):
                 self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        self.short: dict[int, int] = {}  # the same with pairs, and rank and token, as one number
+        self.ranks: dict[int, int] = {}  # a pair as one number: its rank and the token it makes, as one too
         left, right, born = (np.full(self.n, x, np.int64) for x in (-1, -1, -1))
         for rank, (a, b) in enumerate(merges):
             ia, ib, made = vocab[a], vocab[b], vocab[a + b]
-            self.ranks[ia, ib] = rank, made
-            self.short[ia << 20 | ib] = rank << 20 | made
+            self.ranks[ia << 20 | ib] = rank << 20 | made
             if left[made] < 0:
                 left[made], right[made], born[made] = ia, ib, rank
         self.left, self.right, self.born = left, right, born
-        pairs = np.array([a * self.n + b for a, b in self.ranks], np.int64)
+        pairs = np.fromiter(self.ranks, np.int64, len(self.ranks))
         order = np.argsort(pairs)
-        self.pairs, self.pair_ranks = pairs[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
+        self.pairs, self.pair_ranks = pairs[order], np.fromiter(self.ranks.values(), np.int64, len(self.ranks))[order] >> 20
         self.cache: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self._reset()
-        utf8 = [t.encode() for t in self.tokens]
-        self.token_len = np.array([len(t) for t in utf8], np.int64)
-        self.token_start = np.r_[0, np.cumsum(self.token_len)[:-1]]
-        self.token_bytes = np.frombuffer(b"".join(utf8), np.uint8)
+
+    def forget(self) -> None:
+        """Let go of all words and pieces kept."""
+        self.pieces.clear()
+        self._reset()
 
     def _reset(self) -> None:
         self.cache.clear()
         self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.n + b
+        key = a << 20 | b
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
 
@@ -134,7 +133,7 @@ class WordBpe:
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
         n = len(ids)
         if n <= SHORT_PIECE:
-            none, find = 1 << 60, self.short.get
+            none, find = 1 << 60, self.ranks.get
             found = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
             while found and (least := min(found)) < none:
                 i = found.index(least)
@@ -145,23 +144,21 @@ class WordBpe:
                 if i < len(found):
                     found[i] = find(ids[i] << 20 | ids[i + 1], none)
             return ids
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.ranks]
-        heap = [(r, i, made, p) for r, made, i, p in heap]
+        after, before, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks
+        heap = [(ranks[p], i, p) for i, p in enumerate(a << 20 | b for a, b in zip(ids, ids[1:])) if p in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, made, (a, b) = heapq.heappop(heap)
+            made, i, pair = heapq.heappop(heap)
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] != pair >> 20 or j >= n or ids[j] != pair & 0xFFFFF:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = made & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (pair := (ids[k], ids[after[k]])) in self.ranks:
-                    rank, new = self.ranks[pair]
-                    heapq.heappush(heap, (rank, k, new, pair))
+                if k >= 0 and after[k] < n and (pair := ids[k] << 20 | ids[after[k]]) in ranks:
+                    heapq.heappush(heap, (ranks[pair], k, pair))
         return [x for x in ids if x >= 0]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
@@ -237,6 +234,21 @@ class WordBpe:
         take = np.repeat(self.starts[at] - ends[:-1], lens) + np.arange(ends[-1])
         return self.flat[take], ends[np.r_[0, np.cumsum(counts)]]
 
+
+class Decoder:
+    """The tokens of the file at path, as bytes."""
+
+    def __init__(self, path: str):
+        spec = json.load(open(path, encoding="utf-8"))
+        found = [*spec["model"]["vocab"].items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]
+        self.n = max(i for _, i in found) + 1
+        utf8 = [b""] * self.n
+        for token, i in found:
+            utf8[i] = token.encode()
+        self.token_len = np.array([len(t) for t in utf8], np.int64)
+        self.token_start = np.r_[0, np.cumsum(self.token_len)[:-1]]
+        self.token_bytes = np.frombuffer(b"".join(utf8), np.uint8)
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the tokens of each text, joined by one space, and their offsets."""
         lens = self.token_len[ids] + 1
@@ -251,13 +263,13 @@ class WordBpe:
         return np.delete(out, last), n
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[tuple[type, str], WordBpe | Decoder] = {}
 
 
-def _model(path: str) -> WordBpe:
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+def _model(path: str, kind: type = WordBpe) -> WordBpe | Decoder:
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
@@ -284,6 +296,7 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text", to: str
         for texts in parts:
             done = [model.encode(x.to_pylist()) for x in _slices(texts)]
             yield pa.concat_arrays([pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(ids)) for ids, o in done]) if done else pa.array([], pa.list_(pa.int32()))
+        model.forget()  # the worker may serve other work next
 
     return df.withColumn(to, encoded(F.col(column)))
 
@@ -296,7 +309,7 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", to: str
 
     @F.arrow_udf("string")
     def decoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path)
+        model = _model(path, Decoder)
         for lists in parts:
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
