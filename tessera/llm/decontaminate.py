@@ -24,13 +24,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", ""), r"\s+"), lambda x: x != "")
 
 
-def template(text: Column) -> Column:
-    """As words(), one for one, but a word is <num> if it begins with a digit, <unit> if it is a unit of
-    measure, <name> if it begins with a capital, and else is in lower case."""
+def marked(text: Column) -> Column:
+    """A text without punctuation, with a word as <num> if it begins with a digit, <unit> if it is a unit of
+    measure."""
     out = F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", "")
     out = F.regexp_replace(out, r"(?<!\S)(?=\p{N})\S+", "<num>")
-    out = F.regexp_replace(out, rf"(?<!\S)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\S)", "<unit>")
-    out = F.regexp_replace(out, r"(?<!\S)(?=\p{Lu})\S+", "<name>")
+    return F.regexp_replace(out, rf"(?<!\S)(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\S)", "<unit>")
+
+
+def template(marked_text: Column, folded: bool = False) -> Column:
+    """The words of a marked text, one for one with words(): a word that begins with a capital is <name>, or,
+    in the folded template, a word like others; the others are in lower case."""
+    out = marked_text if folded else F.regexp_replace(marked_text, r"(?<!\S)(?=\p{Lu})\S+", "<name>")
     return F.filter(F.split(F.lower(out), r"\s+"), lambda x: x != "")
 
 
@@ -41,26 +46,35 @@ def _windows(t: Column, size: int, stride: int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice(t, i + 1, size), " ")).alias("hash")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, run: int = RUN, folded: bool = False) -> DataFrame:
     """One row per pair of a document and a benchmark item that leaks into it: doc_id, item_id, n_item words,
     n_match words of the item in line with the document, run (the most in a row), coverage, kind: "verbatim" if
     the slots hold the same values, "reparameterised" if each of the item's values always became the same one.
 
     A document leaks an item if they share a template window and, at the best offset, coverage or run reaches
-    its threshold and the slots are consistent. docs has doc_id and text, benchmark item_id and text; other
-    columns are ignored. Null texts are empty, texts of fewer words than a window match nothing, null ids never
-    join and are left out. Rows that repeat an id are judged as one, by their best offset. Windows are joined
-    without a hint, on their hash; a window that many documents share meets the few items that have it, and a
-    document gives at most one row per item and offset to the next step."""
+    its threshold and the slots are consistent. With folded, a pair is also judged by the folded templates, in
+    which names are words and case does not count, and leaks by either. docs has doc_id and text, benchmark
+    item_id and text; other columns are ignored. Null texts are empty, texts of fewer words than a window match
+    nothing, null ids never join and are left out. Rows that repeat an id are judged as one, by their best
+    offset. Windows are joined without a hint, on their hash; a window that many documents share meets the few
+    items that have it, and a document gives at most one row per item, offset and kind of template to the next
+    step."""
+    views = [False, True] if folded else [False]
+    either = lambda c, f: F.when(F.col("folded"), f(F.col(c), True)).otherwise(f(F.col(c), False))
+    values = lambda c, fold: words(F.lower(c) if fold else c)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
-    items = computed(items, it=template(F.col("text")), iw=words(F.col("text"))).drop("text")
-    wanted = items.select("item_id", F.explode(_windows(F.col("it"), window, 1)).alias("w")).select("item_id", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
-    held = computed(own, t=template(F.col("text"))).select("doc_id", F.explode(_windows(F.col("t"), window, stride)).alias("w")).select("doc_id", F.col("w.pos").alias("dpos"), F.col("w.hash").alias("hash"))
-    offsets = held.join(wanted, "hash").select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("at")).distinct()
+    items = computed(items, m=marked(F.col("text"))).select("*", F.explode(F.array(*map(F.lit, views))).alias("folded"))
+    items = computed(items, it=either("m", template), iw=either("text", values)).drop("text", "m")
+    wanted = items.select("item_id", "folded", F.explode(_windows(F.col("it"), window, 1)).alias("w")).select("item_id", "folded", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
+    held = computed(own, m=marked(F.col("text"))).select("doc_id", "m")
+    held = computed(held, w=F.concat(*(F.transform(_windows(template(F.col("m"), v), window, stride), lambda w: F.struct(F.lit(v).alias("folded"), w["pos"].alias("pos"), w["hash"].alias("hash"))) for v in views)))
+    held = held.select("doc_id", F.inline("w")).withColumnRenamed("pos", "dpos")
+    offsets = held.join(wanted, ["hash", "folded"]).select("doc_id", "item_id", "folded", (F.col("dpos") - F.col("ipos")).alias("at")).distinct()
 
     # Documents that no pair reaches are dropped by the join; of the others only the words in line are kept.
-    met = computed(offsets.join(items, "item_id").join(own, "doc_id"), dt=template(F.col("text")), dw=words(F.col("text"))).drop("text")
+    met = computed(offsets.join(items, ["item_id", "folded"]).join(own, "doc_id"), m=marked(F.col("text")))
+    met = computed(met, dt=either("m", template), dw=either("text", values)).drop("text", "m")
     at = lambda a, i: F.when((i + F.col("at") >= 0) & (i + F.col("at") < F.size(a)), F.get(a, i + F.col("at")))
     met = computed(met, hits=F.transform(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.coalesce(at(F.col("dt"), i) == F.get("it", i), F.lit(False))))
     slots = F.filter(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.get("hits", i) & F.get("it", i).isin("<num>", "<name>", "<unit>"))
@@ -68,7 +82,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stri
     longest = F.array_max(F.transform(F.split(F.array_join(F.transform("hits", lambda x: F.when(x, "1").otherwise("0")), ""), "0+"), F.length))
     met = met.select("doc_id", "item_id", "at", F.size("it").alias("n_item"), F.size(F.filter("hits", lambda x: x)).alias("n_match"), longest.alias("run"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))).alias("consistent"))
     met = met.withColumn("coverage", F.col("n_match") / F.col("n_item")).where(((F.col("coverage") >= coverage) | (F.col("run") >= run)) & F.col("consistent"))
-    best = met.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_match", "run", "coverage", "changed"), F.struct("n_match", "run", F.negative("at"))).alias("b"))
+    best = met.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_match", "run", "coverage", "changed"), F.struct("n_match", "run", F.negative("at"), ~F.col("changed"))).alias("b"))
     return best.select("doc_id", "item_id", *(F.col(f"b.{c}").alias(c) for c in ("n_item", "n_match", "run", "coverage")), F.when(F.col("b.changed"), "reparameterised").otherwise("verbatim").alias("kind"))
 
 
@@ -78,5 +92,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of benchmark that leak into documents."""
-    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    """Items of benchmark that leak into documents, in any case of letters."""
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), folded=True)
