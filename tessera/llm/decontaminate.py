@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import computed
 
-#: Words in a window, and the distance between the windows taken from a document. A benchmark has a window at
-#: every word, so any WINDOW + STRIDE - 1 words in common hold a common window.
-WINDOW, STRIDE = 8, 4
+#: Words in a window at most; _sized() makes windows as short as an item's thresholds need.
+WINDOW = 8
 #: An item leaks if so large a part of its words stands in the document, in line, or so many words in a row.
 COVERAGE, RUN = 0.8, 13
+SLOTS = ("<num>", "<name>", "<unit>")
 # Unit words.
 UNITS = "mm cm m km mg g kg t ml l s sec min h hr ms hz khz mhz ghz w kw kwh v a j kj cal kcal pa kpa bar mph kmh inch inches feet foot ft yard yards mile miles ounce ounces oz pound pounds lb lbs gallon gallons second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents usd eur gbp percent degree degrees celsius fahrenheit".split()
 
@@ -39,26 +39,41 @@ def template(marked_text: Column, folded: bool = False) -> Column:
     return F.filter(F.split(F.lower(out), r"\s+"), lambda x: x != "")
 
 
-def _windows(t: Column, size: int, stride: int) -> Column:
-    """(pos, hash) of the windows that begin at every stride-th word, and of the last."""
-    last = F.size(t) - size
-    starts = F.when(last >= 0, F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array_join(F.slice(t, i + 1, size), " ")).alias("hash")))
+def _sized(items: DataFrame, window: int, coverage: float, run: int) -> DataFrame:
+    """items (it: template words) with size, the words of their windows, and least, how many windows a leak has in
+    common with the item at one offset.
 
+    An item of n words may miss m = n - ceil(coverage * n) of them. The others lie in m + 1 runs at most, so one
+    run has ceil((n - m) / (m + 1)) words at least, and a window of no more words stands in it. Of the item's
+    n - size + 1 windows each word missed spoils size; `run` words in a row have run - size + 1 windows."""
+    n = F.size("it")
+    need = F.ceil(n * coverage - 1e-9)
+    items = computed(items.where(n > 0), size=F.greatest(F.lit(1), F.least(F.lit(window), F.lit(run), F.ceil(need / (n - need + 1)))).cast("int"), missed=(n - need).cast("int"))
+    of_coverage, of_run = n - F.col("size") + 1 - F.col("size") * F.col("missed"), F.when(n >= run, run - F.col("size") + 1)
+    return items.withColumn("least", F.greatest(F.lit(1), F.least(of_coverage, of_run))).drop("missed")
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, run: int = RUN, folded: bool = False) -> DataFrame:
+
+def _hash(folded: Column, t: Column, pos: Column, size: int) -> Column:
+    """The hash of the window of so many words at pos of a template; null where the template ends before."""
+    return F.when(pos + size <= F.size(t), F.xxhash64(folded, *(F.get(t, pos + k) for k in range(size))))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, folded: bool = False) -> DataFrame:
     """One row per pair of a document and a benchmark item that leaks into it: doc_id, item_id, n_item words,
     n_match words of the item in line with the document, run (the most in a row), coverage, kind: "verbatim" if
     the slots hold the same values, "reparameterised" if each of the item's values always became the same one.
 
-    A document leaks an item if they share a template window and, at the best offset, coverage or run reaches
-    its threshold and the slots are consistent. With folded, a pair is also judged by the folded templates, in
-    which names are words and case does not count, and leaks by either. docs has doc_id and text, benchmark
-    item_id and text; other columns are ignored. Null texts are empty, texts of fewer words than a window match
-    nothing, null ids never join and are left out. Rows that repeat an id are judged as one, by their best
-    offset. Windows are joined without a hint, on their hash; a window that many documents share meets the few
-    items that have it, and a document gives at most one row per item, offset and kind of template to the next
-    step."""
+    A document leaks an item if at an offset coverage or run reaches its threshold and the slots are consistent.
+    With folded, a pair is also judged by the folded templates, in which names are words and case does not
+    count, and leaks by either; the best offset is shown. docs has doc_id and text, benchmark item_id and text;
+    other columns are ignored. Null texts are empty and match nothing, null ids never join and are left out.
+    Items of few words leak into all documents that have these words in line, but an item of slots only must
+    stand there verbatim. Rows that repeat an id are judged as one, by their best offset.
+
+    Pairs and offsets are found by windows at every word, so short that none that reaches a threshold is lost
+    (the sizes that the benchmark needs are collected first). Windows are joined without a hint, on their hash; a
+    window that many documents share meets the few items that have it, and only offsets with as many windows in
+    common as a leak must have go on to the next step."""
     views = [False, True] if folded else [False]
     either = lambda c, f: F.when(F.col("folded"), f(F.col(c), True)).otherwise(f(F.col(c), False))
     values = lambda c, fold: words(F.lower(c) if fold else c)
@@ -66,22 +81,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stri
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).distinct()
     items = computed(items, m=marked(F.col("text"))).select("*", F.explode(F.array(*map(F.lit, views))).alias("folded"))
     items = computed(items, it=either("m", template), iw=either("text", values)).drop("text", "m")
-    wanted = items.select("item_id", "folded", F.explode(_windows(F.col("it"), window, 1)).alias("w")).select("item_id", "folded", F.col("w.pos").alias("ipos"), F.col("w.hash").alias("hash"))
+    items = _sized(items, window, coverage, run)
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [window]
+    pos = F.col("pos")
+    wanted = items.select("item_id", "folded", "size", "least", "it", F.posexplode("it").alias("pos", "word"))
+    of_size = F.coalesce(*(F.when(F.col("size") == n, _hash(F.col("folded"), F.col("it"), pos, n)) for n in sizes))
+    wanted = wanted.select("item_id", "folded", "least", pos.alias("ipos"), of_size.alias("hash")).where(F.col("hash").isNotNull())
     held = computed(own, m=marked(F.col("text"))).select("doc_id", "m")
-    held = computed(held, w=F.concat(*(F.transform(_windows(template(F.col("m"), v), window, stride), lambda w: F.struct(F.lit(v).alias("folded"), w["pos"].alias("pos"), w["hash"].alias("hash"))) for v in views)))
-    held = held.select("doc_id", F.inline("w")).withColumnRenamed("pos", "dpos")
-    offsets = held.join(wanted, ["hash", "folded"]).select("doc_id", "item_id", "folded", (F.col("dpos") - F.col("ipos")).alias("at")).distinct()
+    held = computed(held, **{f"t{i}": template(F.col("m"), v) for i, v in enumerate(views)}).drop("m")
+    held = held.select("*", F.posexplode("t0").alias("pos", "word"))
+    held = held.select("doc_id", pos.alias("dpos"), F.explode(F.array(*(_hash(F.lit(v), F.col(f"t{i}"), pos, n) for i, v in enumerate(views) for n in sizes))).alias("hash")).where(F.col("hash").isNotNull())
+    offsets = held.join(wanted, "hash").groupBy("doc_id", "item_id", "folded", "least", (F.col("dpos") - F.col("ipos")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = offsets.where(F.col("n") >= F.col("least")).select("doc_id", "item_id", "folded", "at").distinct()
 
     # Documents that no pair reaches are dropped by the join; of the others only the words in line are kept.
-    met = computed(offsets.join(items, ["item_id", "folded"]).join(own, "doc_id"), m=marked(F.col("text")))
+    met = computed(offsets.join(items.drop("size", "least"), ["item_id", "folded"]).join(own, "doc_id"), m=marked(F.col("text")))
     met = computed(met, dt=either("m", template), dw=either("text", values)).drop("text", "m")
     at = lambda a, i: F.when((i + F.col("at") >= 0) & (i + F.col("at") < F.size(a)), F.get(a, i + F.col("at")))
     met = computed(met, hits=F.transform(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.coalesce(at(F.col("dt"), i) == F.get("it", i), F.lit(False))))
-    slots = F.filter(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.get("hits", i) & F.get("it", i).isin("<num>", "<name>", "<unit>"))
+    slots = F.filter(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.get("hits", i) & F.get("it", i).isin(*SLOTS))
     met = computed(met, slots=F.array_distinct(F.transform(slots, lambda i: F.struct(F.concat(F.get("it", i), F.get("iw", i)).alias("item"), F.concat(F.get("it", i), at(F.col("dw"), i)).alias("doc")))))
     longest = F.array_max(F.transform(F.split(F.array_join(F.transform("hits", lambda x: F.when(x, "1").otherwise("0")), ""), "0+"), F.length))
-    met = met.select("doc_id", "item_id", "at", F.size("it").alias("n_item"), F.size(F.filter("hits", lambda x: x)).alias("n_match"), longest.alias("run"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))).alias("consistent"))
-    met = met.withColumn("coverage", F.col("n_match") / F.col("n_item")).where(((F.col("coverage") >= coverage) | (F.col("run") >= run)) & F.col("consistent"))
+    met = met.select("doc_id", "item_id", "at", F.size("it").alias("n_item"), F.size(F.filter("hits", lambda x: x)).alias("n_match"), longest.alias("run"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))).alias("consistent"), F.exists("it", lambda x: ~x.isin(*SLOTS)).alias("wordy"))
+    met = met.withColumn("coverage", F.col("n_match") / F.col("n_item")).where(((F.col("coverage") >= coverage) | (F.col("run") >= run)) & F.col("consistent") & (F.col("wordy") | ~F.col("changed")))
     best = met.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_match", "run", "coverage", "changed"), F.struct("n_match", "run", F.negative("at"), ~F.col("changed"))).alias("b"))
     return best.select("doc_id", "item_id", *(F.col(f"b.{c}").alias(c) for c in ("n_item", "n_match", "run", "coverage")), F.when(F.col("b.changed"), "reparameterised").otherwise("verbatim").alias("kind"))
 

@@ -13,3 +13,25 @@ def leaks(spark, docs, items, **how):
 def test_any_case_of_letters(spark):
     docs = [f"before {ITEM.upper()} AFTER", ITEM.lower(), ITEM.upper().replace("12", "x"), "NOTHING OF IT AT ALL BUT NINE WORDS", ITEM.replace("Anna", "Maria").upper(), ITEM.replace("Anna", "Maria").replace("12", "40")]
     assert leaks(spark, docs, [ITEM]) == {(0, 0): "verbatim", (1, 0): "verbatim", (2, 0): "verbatim", (4, 0): "verbatim", (5, 0): "reparameterised"}
+
+
+def test_short_items_at_every_offset(spark):
+    items = ["pure reason", "why is it so", *(" ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(n)) for k, n in enumerate(range(1, 13))), "Paris", ""]
+    docs = [" ".join(["x"] * before + [t] + ["y"] * 9) for t in items[:-1] for before in range(9)]
+    found = leaks(spark, [*docs, "London"], items)
+    assert found == {(d, d // 9): "verbatim" for d in range(len(docs))}
+
+
+def test_coverage_holds_whatever_words_are_changed(spark):
+    """All pairs that reach the coverage, by brute force, with changes dealt out to leave the shortest runs."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items, docs, expected = [], [], set()
+    for k, n in enumerate([*range(2, 26), 40, 50]):
+        words = [f"q{letters[k]}{letters[i % 26]}{letters[i // 26]}" for i in range(n)]
+        for m in range(1, n // 5 + 2):
+            gone = {round((j + 1) * (n + 1) / (m + 1)) - 1 for j in range(m)}
+            docs.append(" ".join(["pre"] * (m % 4) + ["zz" if i in gone else w for i, w in enumerate(words)] + ["post"]))
+            if (n - len(gone)) / n >= decontaminate.COVERAGE or max(map(len, "".join("0" if i in gone else "1" for i in range(n)).split("0"))) >= decontaminate.RUN:
+                expected.add((len(docs) - 1, k))
+        items.append(" ".join(words))
+    assert set(leaks(spark, docs, items)) == expected
