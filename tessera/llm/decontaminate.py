@@ -58,12 +58,44 @@ def _hash(folded: Column, t: Column, pos: Column, size: int) -> Column:
     return F.when(pos + size <= F.size(t), F.xxhash64(folded, *(F.get(t, pos + k) for k in range(size))))
 
 
+def _consistent(slots: Column) -> Column:
+    """Whether each of the item's values always became the same one."""
+    return F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["item"], s["doc"])))) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
+
+
+def _within(span: Column) -> Column:
+    return F.filter("slots", lambda s: s["pos"].between(span["from"], span["to"]))
+
+
+def _ends(word: Column) -> Column:
+    """(from, to) of the runs of words in line."""
+    hit = lambda i: F.coalesce(F.get("hits", i), F.lit(False))
+    first, last = F.filter(word, lambda i: hit(i) & ~((i > 0) & hit(i - 1))), F.filter(word, lambda i: hit(i) & ~hit(i + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+
+
+def _spans(run: int, trim: bool) -> Column:
+    """The spans of the item whose slots can make a run a leak. In the folded template, any `run` words in line. In
+    the other, the runs in line, whole or, to trim, without the slots at either end, as a slot beside a copied
+    passage can be in line by chance."""
+    fixed = F.flatten(F.transform(F.filter("ends", lambda e: e["to"] - e["from"] >= run - 1), lambda e: F.transform(F.sequence(e["from"], e["to"] - run + 1), lambda i: F.struct(i.alias("from"), (i + run - 1).alias("to")))))
+
+    def trimmed(e: Column) -> Column:
+        inner = F.filter("firm", lambda i: i.between(e["from"], e["to"]))
+        a, b = (e["from"], F.array_min(inner)), (e["to"], F.array_max(inner))
+        return F.filter(F.array(*(F.struct(x.alias("from"), y.alias("to")) for x in a for y in b)), lambda s: s["from"].isNotNull() & s["to"].isNotNull())
+
+    return F.when(F.col("folded"), fixed).otherwise(F.flatten(F.transform("ends", trimmed)) if trim else F.col("ends"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, folded: bool = False) -> DataFrame:
     """One row per pair of a document and a benchmark item that leaks into it: doc_id, item_id, n_item words,
     n_match words of the item in line with the document, run (the most in a row), coverage, kind: "verbatim" if
     the slots hold the same values, "reparameterised" if each of the item's values always became the same one.
 
-    A document leaks an item if at an offset coverage or run reaches its threshold and the slots are consistent.
+    A document leaks an item if at an offset coverage reaches its threshold and all slots in line are consistent,
+    or run does and the slots inside the run are; what else is in line by chance does not count against a run
+    (with folded, also slots at its ends).
     With folded, a pair is also judged by the folded templates, in which names are words and case does not
     count, and leaks by either; the best offset is shown. docs has doc_id and text, benchmark item_id and text;
     other columns are ignored. Null texts are empty and match nothing, null ids never join and are left out.
@@ -100,10 +132,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     at = lambda a, i: F.when((i + F.col("at") >= 0) & (i + F.col("at") < F.size(a)), F.get(a, i + F.col("at")))
     met = computed(met, hits=F.transform(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.coalesce(at(F.col("dt"), i) == F.get("it", i), F.lit(False))))
     slots = F.filter(F.sequence(F.lit(0), F.size("it") - 1), lambda i: F.get("hits", i) & F.get("it", i).isin(*SLOTS))
-    met = computed(met, slots=F.array_distinct(F.transform(slots, lambda i: F.struct(F.concat(F.get("it", i), F.get("iw", i)).alias("item"), F.concat(F.get("it", i), at(F.col("dw"), i)).alias("doc")))))
-    longest = F.array_max(F.transform(F.split(F.array_join(F.transform("hits", lambda x: F.when(x, "1").otherwise("0")), ""), "0+"), F.length))
-    met = met.select("doc_id", "item_id", "at", F.size("it").alias("n_item"), F.size(F.filter("hits", lambda x: x)).alias("n_match"), longest.alias("run"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("changed"), (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))).alias("consistent"), F.exists("it", lambda x: ~x.isin(*SLOTS)).alias("wordy"))
-    met = met.withColumn("coverage", F.col("n_match") / F.col("n_item")).where(((F.col("coverage") >= coverage) | (F.col("run") >= run)) & F.col("consistent") & (F.col("wordy") | ~F.col("changed")))
+    word = F.sequence(F.lit(0), F.size("it") - 1)
+    met = computed(met, slots=F.transform(slots, lambda i: F.struct(i.alias("pos"), F.concat(F.get("it", i), F.get("iw", i)).alias("item"), F.concat(F.get("it", i), at(F.col("dw"), i)).alias("doc"))), ends=_ends(word), firm=F.filter(word, lambda i: ~F.get("it", i).isin(*SLOTS)))
+    met = computed(met, spans=F.filter(_spans(run, folded), lambda s: (s["to"] - s["from"] >= run - 1) & _consistent(_within(s))))
+    longest = F.coalesce(F.array_max(F.transform("ends", lambda e: e["to"] - e["from"] + 1)), F.lit(0))
+    changed = lambda slots: F.exists(slots, lambda s: s["item"] != s["doc"])
+    met = met.select("doc_id", "item_id", "at", F.size("it").alias("n_item"), F.size(F.filter("hits", lambda x: x)).alias("n_match"), longest.alias("run"), changed(F.col("slots")).alias("slots_changed"), _consistent(F.col("slots")).alias("consistent"), (F.size("spans") > 0).alias("runs"), (~F.exists("spans", lambda s: ~changed(_within(s)))).alias("spans_changed"), (F.size("firm") > 0).alias("wordy"))
+    met = met.withColumn("coverage", F.col("n_match") / F.col("n_item")).withColumn("covers", (F.col("coverage") >= coverage) & F.col("consistent"))
+    met = met.where(F.col("covers") | F.col("runs")).withColumn("changed", F.when(F.col("covers"), F.col("slots_changed")).otherwise(F.col("spans_changed"))).where(F.col("wordy") | ~F.col("changed"))
     best = met.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_item", "n_match", "run", "coverage", "changed"), F.struct("n_match", "run", F.negative("at"), ~F.col("changed"))).alias("b"))
     return best.select("doc_id", "item_id", *(F.col(f"b.{c}").alias(c) for c in ("n_item", "n_match", "run", "coverage")), F.when(F.col("b.changed"), "reparameterised").otherwise("verbatim").alias("kind"))
 

@@ -35,3 +35,15 @@ def test_coverage_holds_whatever_words_are_changed(spark):
                 expected.add((len(docs) - 1, k))
         items.append(" ".join(words))
     assert set(leaks(spark, docs, items)) == expected
+
+
+def test_chance_slots_beyond_a_copied_passage(spark):
+    passage = "Now Anna takes 7 of those old red carts over some bridge toward town 4 times"
+    item = f"{passage} before Anna goes away and rests or reads or writes about 7 birds and more things than one ever saw"
+    # In line by chance: a name and a number that contradict the passage, and a number right behind another one.
+    tail = lambda name, n: f"xx {name} xx xx xx xx xx xx xx xx xx {n} xx xx xx"
+    docs = [f"{passage} {tail('Berta', 9)}", f"{passage.replace('Anna', 'Maria').replace('7', '8')} {tail('Berta', 9)}", f"only Anna takes 7 of {tail('Berta', 9)}", passage.replace("7", "8").replace(" 4", " 7") + " zz"]
+    assert leaks(spark, docs, [item]) == {(0, 0): "verbatim", (1, 0): "reparameterised", (3, 0): "reparameterised"}
+    runs = "7 takes of those old red carts over some bridge toward town in all 7 and then many other things come to pass in here"
+    docs = ["9 takes of those old red carts over some bridge toward town in all 7 zz", "takes of those old red carts over some bridge toward town zz"]
+    assert set(leaks(spark, docs, [runs])) == {(0, 0)}
