@@ -7,7 +7,9 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,15 +19,17 @@ from pyspark.sql import functions as F
 from tessera.llm.shingles import small_batches
 
 # The pieces into which a word is cut, and white space as Unicode has it (str.split() has four more).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACES = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
-#: Words, and pieces of words, kept with their ids in each Python worker; at more the store starts anew.
-CACHE_WORDS, CACHE_PIECES = 200_000, 150_000
-#: Longer pieces are merged with a heap.
-SHORT_PIECE = 40
+PIECES_OF_LINES = regex.compile(PIECE + "|\n")
+#: Words kept with their ids in each Python worker; at more the store starts anew.
+CACHE_WORDS = 150_000
+#: Longer pieces are merged with a heap, shorter ones so many at a time in a matrix.
+SHORT_PIECE, ROWS = 40, 4096
 NEVER = np.int64(2**62)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_letters() -> list[str]:
@@ -55,11 +59,18 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.cut = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
-        self.letters = _byte_letters()
-        self.reach: dict[str, int] = {}  # the longest token that does not end a word, by its first two letters
-        for t in vocab:
-            if not t.endswith(END):
-                self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
+        letters = _byte_letters()
+        self.spelt = dict(enumerate(letters)) | {10: "\n"}  # a line's end stands for the end of a word
+        self.proposer = ahocorasick.Automaton()
+        self.token_chars = np.zeros(self.n, np.int64)
+        for t, i in vocab.items():
+            t = t[: -len(END)] + "\n" if t.endswith(END) else t
+            self.proposer.add_word(t, i)
+            self.token_chars[i] = len(t)
+        self.proposer.make_automaton()
+        self.single = np.zeros((2, 1 + max(map(ord, letters))), np.int64)  # tokens of one letter: inside, at the end
+        for c in letters:
+            self.single[:, ord(c)] = vocab[c], vocab[c + END]
         self.ranks: dict[int, int] = {}  # a pair as one number: its rank and the token it makes, as one too
         left, right, born = (np.full(self.n, x, np.int64) for x in (-1, -1, -1))
         for rank, (a, b) in enumerate(merges):
@@ -68,26 +79,43 @@ class WordBpe:
             if left[made] < 0:
                 left[made], right[made], born[made] = ia, ib, rank
         self.left, self.right, self.born = left, right, born
-        pairs = np.fromiter(self.ranks, np.int64, len(self.ranks))
-        order = np.argsort(pairs)
-        self.pairs, self.pair_ranks = pairs[order], np.fromiter(self.ranks.values(), np.int64, len(self.ranks))[order] >> 20
+        self.bits = max(4, (4 * len(self.ranks)).bit_length())
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER, np.int64)
+        todo, values = np.fromiter(self.ranks, np.int64, len(self.ranks)), np.fromiter(self.ranks.values(), np.int64, len(self.ranks))
+        slot = self._slot(todo)
+        while len(todo):  # of the pairs that ask for a free slot one gets it, the others ask for the next slot
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]
+            mine = self.slots[slot] == todo
+            self.values[slot[mine]] = values[mine]
+            todo, values, slot = todo[~mine], values[~mine], (slot[~mine] + 1) & (len(self.slots) - 1)
         self.cache: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self._reset()
+        self.forget()
 
     def forget(self) -> None:
-        """Let go of all words and pieces kept."""
-        self.pieces.clear()
-        self._reset()
-
-    def _reset(self) -> None:
+        """Let go of all words kept."""
         self.cache.clear()
         self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.pair_ranks[at], NEVER)
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _merge_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair a, b: rank << 20 | the token it makes, or NEVER; a or b may be -1 for none."""
+        pairs = (a << 20 | b).ravel()
+        slot = self._slot(pairs)
+        held, out = self.slots[slot], self.values[slot]
+        open_ = np.flatnonzero(held != pairs)
+        out[open_] = NEVER
+        open_ = open_[held[open_] >= 0]
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            held = self.slots[slot[open_]]
+            hit = held == pairs[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        out[pairs < 0] = NEVER
+        return out.reshape(a.shape)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of neighbours a, b: whether no merge crosses their boundary while they are built.
@@ -99,8 +127,9 @@ class WordBpe:
         x_dies, y_dies = (np.full(len(x), NEVER) for _ in range(2))
         good, open_ = np.ones(len(x), bool), np.arange(len(x))
         while len(open_):
-            rank = self._rank_of(x[open_], y[open_])
-            bad = (rank < x_dies[open_]) & (rank <= y_dies[open_]) & (rank != NEVER)
+            found = self._merge_of(x[open_], y[open_])
+            rank = found >> 20
+            bad = (rank < x_dies[open_]) & (rank <= y_dies[open_]) & (found != NEVER)
             good[open_[bad]] = False
             open_ = open_[~bad]
             bx, by = self.born[x[open_]], self.born[y[open_]]
@@ -112,38 +141,9 @@ class WordBpe:
             open_ = open_[live]
         return good
 
-    def greedy(self, word: str) -> list[int]:
-        """The longest tokens from left to right; the last one must be one that ends a word."""
-        vocab, reach, out, at, n = self.vocab, self.reach, [], 0, len(word)
-        while at < n:
-            whole = vocab.get(word[at:] + END)
-            if whole is not None:
-                out.append(whole)
-                break
-            for end in range(min(n - 1, at + reach.get(word[at : at + 2], 1)), at, -1):
-                token = vocab.get(word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
-        return out
-
-    def merged(self, word: str) -> list[int]:
-        """Exact merging: always the pair of least rank, of equal ones the leftmost."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + END]]
+    def merged(self, ids: list[int]) -> list[int]:
+        """Exact merging of the letters of one piece: always the pair of least rank, of equal ones the leftmost."""
         n = len(ids)
-        if n <= SHORT_PIECE:
-            none, find = 1 << 60, self.ranks.get
-            found = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
-            while found and (least := min(found)) < none:
-                i = found.index(least)
-                ids[i : i + 2] = [least & 0xFFFFF]
-                del found[i]
-                if i:
-                    found[i - 1] = find(ids[i - 1] << 20 | ids[i], none)
-                if i < len(found):
-                    found[i] = find(ids[i] << 20 | ids[i + 1], none)
-            return ids
         after, before, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks
         heap = [(ranks[p], i, p) for i, p in enumerate(a << 20 | b for a, b in zip(ids, ids[1:])) if p in ranks]
         heapq.heapify(heap)
@@ -161,45 +161,93 @@ class WordBpe:
                     heapq.heappush(heap, (ranks[pair], k, pair))
         return [x for x in ids if x >= 0]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of words that are spelt in byte letters."""
-        found = [self.greedy(p) for p in pieces]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(lens.sum()))
-        owner = np.repeat(np.arange(len(found)), lens)
+    def _merged_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Exact merging of many short pieces at once: rows of letters' tokens, filled up with -1."""
+        ids = np.concatenate([ids, np.full((len(ids), 1), -1)], 1)
+        found = self._merge_of(ids[:, :-1], ids[:, 1:])
+        live, columns = np.arange(len(ids)), np.arange(ids.shape[1])
+        while True:
+            at = found[live].argmin(1)
+            least = found[live, at]
+            live, at, least = (x[least != NEVER] for x in (live, at, least))
+            if not len(live):
+                return ids
+            take = np.minimum(columns + (columns > at[:, None]), len(columns) - 1)
+            own = np.take_along_axis(ids[live], take, 1)  # the last column is -1 in every row
+            pairs = np.take_along_axis(found[live], take[:, :-1].clip(max=len(columns) - 2), 1)
+            rows = np.arange(len(live))
+            own[rows, at] = least & 0xFFFFF
+            pairs[rows, at] = self._merge_of(own[rows, at], own[rows, at + 1])
+            inner = np.flatnonzero(at > 0)
+            pairs[inner, at[inner] - 1] = self._merge_of(own[inner, at[inner] - 1], own[inner, at[inner]])
+            ids[live], found[live] = own, pairs
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces of words (without line ends): all ids, and the start and number of those of each piece.
+
+        The longest tokens from left to right are the proposal; a piece fails if two neighbours of it are not
+        compatible, or if no token ends the word."""
+        if not pieces:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        text = ("\n".join(pieces) + "\n").encode().decode("latin-1").translate(self.spelt)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.flatnonzero(points == 10)
+        sizes = np.diff(np.r_[-1, ends])  # with the line end
+        at, flat = np.fromiter(chain.from_iterable(self.proposer.iter_long(text)), np.int64).reshape(-1, 2).T
+        owner = np.searchsorted(ends, at)
+        lens = np.bincount(owner, minlength=len(pieces))
+        fails = np.bincount(owner, self.token_chars[flat], minlength=len(pieces)) != sizes
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        key, back = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
-        fails = ~self.compatible(key // self.n, key % self.n)[back]
-        for i in np.unique(owner[inner[fails]]):
-            found[i] = self.merged(pieces[i])
-        return found
+        pairs, back = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
+        fails[owner[inner[~self.compatible(pairs >> 20, pairs & 0xFFFFF)[back]]]] = True
+        starts = np.cumsum(lens) - lens
+        bad = np.flatnonzero(fails)
+        if not len(bad):
+            return flat, starts, lens
+        bad = bad[np.argsort(sizes[bad], kind="stable")]
+        more, filled = [flat], len(flat)
+        for b in range(0, int(np.searchsorted(sizes[bad], SHORT_PIECE + 2)), ROWS):
+            part = bad[b : b + ROWS]
+            part = part[sizes[part] <= SHORT_PIECE + 1]
+            n = sizes[part, None] - 1
+            column = np.arange(n.max())
+            letters = points[np.minimum((ends[part, None] - n) + column, len(points) - 1)]
+            ids = self._merged_rows(np.where(column < n, self.single[(column == n - 1).astype(np.int64), np.minimum(letters, self.single.shape[1] - 1)], -1))
+            there = ids >= 0
+            lens[part] = there.sum(1)
+            starts[part] = filled + np.cumsum(lens[part]) - lens[part]
+            more.append(ids[there])
+            filled += len(more[-1])
+        for i in bad[sizes[bad] > SHORT_PIECE + 1]:
+            letters = points[ends[i] - sizes[i] + 1 : ends[i]]
+            more.append(np.array(self.merged([*self.single[0, letters[:-1]].tolist(), int(self.single[1, letters[-1]])]), np.int64))
+            starts[i], lens[i] = filled, len(more[-1])
+            filled += len(more[-1])
+        return np.concatenate(more), starts, lens
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of new words (runs without white space) into the store."""
-        pieces: dict[str, int] = {}
-        made: list[list[int]] = []
-        letters = self.letters
-        for word in words:
-            low = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-            own = []
-            for piece in (low,) if low.isascii() and low.isalpha() else PIECES.findall(low):
-                spelt = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
-                own.append(pieces.setdefault(spelt, len(pieces)))
-            made.append(own)
-        known = self.pieces
-        fresh = [p for p in pieces if p not in known]
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known.clear()
-            fresh = list(pieces)
-        known.update(zip(fresh, self.encode_pieces(fresh)))
-        ids = [known[p] for p in pieces]
-        flat = [[x for p in own for x in ids[p]] for own in made]
-        lens = np.fromiter(map(len, flat), np.int64, len(flat))
-        first = len(self.cache)
-        self.cache.update(zip(words, range(first, first + len(words))))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lens) - lens]
-        self.lens = np.r_[self.lens, lens]
-        self.flat = np.r_[self.flat, np.fromiter((x for f in flat for x in f), np.int32, int(lens.sum()))]
+        if not words:
+            return
+        low = unicodedata.normalize("NFC", "\n".join(words)).replace("Σ", "σ").lower().split("\n")
+        whole = [w.isascii() and w.isalpha() for w in low]
+        cut = PIECES_OF_LINES.findall("\n".join([w for w, one in zip(low, whole) if not one]) + "\n") if not all(whole) else []
+        own = np.ones(len(words), np.int64)  # pieces of each word
+        line_ends = np.fromiter((i for i, p in enumerate(cut) if p == "\n"), np.int64)
+        own[~np.array(whole)] = np.diff(np.r_[-1, line_ends]) - 1
+        rows = iter([p for p in cut if p != "\n"])
+        every = [w if one else None for w, one in zip(low, whole)] if cut else low
+        if cut:
+            every = list(chain.from_iterable((w,) if w is not None else islice(rows, n) for w, n in zip(every, own.tolist())))
+        number = dict(zip(dict.fromkeys(every), count()))
+        ids, starts, lens = self.encode_pieces(list(number))
+        piece = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        lens, ends = lens[piece], np.cumsum(lens[piece])
+        flat = ids[np.repeat(starts[piece] - ends + lens, lens) + np.arange(int(lens.sum()))]
+        of_word = np.r_[0, ends][np.r_[0, np.cumsum(own)]]
+        self.cache.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        self.starts, self.lens = np.r_[self.starts, len(self.flat) + of_word[:-1]], np.r_[self.lens, np.diff(of_word)]
+        self.flat = np.r_[self.flat, flat.astype(np.int32)]
 
     def _words(self, text: str) -> list[str]:
         words = text.split() if not EXTRA_SPACES.search(text) else [w for w in SPACES.split(text) if w]
@@ -218,17 +266,18 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the offsets of the texts."""
         split = [self._split(t) if t else [] for t in texts]
-        fresh = {w for words in split for w in words if w not in self.cache}
+        every = set().union(*split)
+        fresh = every - self.cache.keys()
         if len(fresh) + len(self.cache) > CACHE_WORDS:
-            self._reset()
-            fresh = {w for words in split for w in words}
+            self.forget()
+            fresh = every
         special = {w: self.special[w[1:]] for w in fresh if w[0] == "\0" and w[1:] in self.special}
-        self._learn(sorted(fresh - special.keys()))
+        self._learn(list(fresh - special.keys()))
         for w, i in special.items():
             self.cache[w] = len(self.starts)
             self.starts, self.lens, self.flat = np.r_[self.starts, len(self.flat)], np.r_[self.lens, 1], np.r_[self.flat, np.int32(i)]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((self.cache[w] for words in split for w in words), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lens = self.lens[at]
         ends = np.r_[0, np.cumsum(lens)]
         take = np.repeat(self.starts[at] - ends[:-1], lens) + np.arange(ends[-1])
@@ -272,6 +321,14 @@ def _model(path: str, kind: type = WordBpe) -> WordBpe | Decoder:
     return _LOADED[kind, path]
 
 
+def _tidy() -> None:
+    """Let go of words kept and of free Arrow memory: the worker may serve other work next."""
+    for model in _LOADED.values():
+        if isinstance(model, WordBpe):
+            model.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
     """Runs of rows with about so many bytes, to bound what one step holds."""
     sizes = np.cumsum([0, *(len(x) if x is not None else 0 for x in texts.to_pylist())])
@@ -282,6 +339,17 @@ def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
         at = end
 
 
+NO_IDS = pa.array([], pa.list_(pa.int32()))
+
+
+def _ids(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
 def encode(df: DataFrame, path: str | None = None, column: str = "text", to: str = "ids") -> DataFrame:
     """Add `to` (array<int>): the ids of the text; a column of that name is replaced.
 
@@ -294,9 +362,8 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text", to: str
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(path)
         for texts in parts:
-            done = [model.encode(x.to_pylist()) for x in _slices(texts)]
-            yield pa.concat_arrays([pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(ids)) for ids, o in done]) if done else pa.array([], pa.list_(pa.int32()))
-        model.forget()  # the worker may serve other work next
+            yield pa.concat_arrays([NO_IDS, *(_ids(*model.encode(x.to_pylist())) for x in _slices(texts))])
+        _tidy()
 
     return df.withColumn(to, encoded(F.col(column)))
 
@@ -317,12 +384,35 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", to: str
             if not good.all():
                 counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[good], minlength=len(counts))
                 ids = ids[good]
-            data, offsets = model.decode(ids, np.r_[0, np.cumsum(counts)].astype(np.int64))
-            yield pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+            yield _strings(*model.decode(ids, np.r_[0, np.cumsum(counts)].astype(np.int64)))
+        _tidy()
 
     return df.withColumn(to, decoded(F.col(column)))
 
 
+def round_trip(df: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
+    """Add ids and decoded, as encode() and then decode() do, by one Python worker a task instead of two;
+    columns of these names are replaced."""
+    path = path or default_path()
+    small_batches(df.sparkSession)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def there_and_back(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to_ids, to_text = _model(path), _model(path, Decoder)
+        for texts in parts:
+            ids, decoded = [NO_IDS], [pa.array([], pa.string())]
+            for x in _slices(texts):
+                found, offsets = to_ids.encode(x.to_pylist())
+                ids.append(_ids(found, offsets))
+                decoded.append(_strings(*to_text.decode(found, offsets)))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], names=["ids", "decoded"])
+        _tidy()
+
+    kept = [F.col(c) for c in df.columns if c not in ("ids", "decoded")]
+    both = df.select(F.struct(*kept).alias("row"), there_and_back(F.col(column)).alias("both"))
+    return both.select("row.*", "both.*")
+
+
 def ids_text(column: str = "ids") -> Column:
     """The ids in decimal, joined by one space."""
     return F.array_join(F.col(column).cast("array<string>"), " ")
@@ -330,5 +420,5 @@ def ids_text(column: str = "ids") -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents, encoded and decoded again, as digests."""
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    done = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text(), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
