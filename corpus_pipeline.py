@@ -36,7 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of each text, and what they decode to."""
-    return bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"))).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+    return bpe.round_trip(docs.select("doc_id", "lang", "source", "text")).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_leaks), ("personal data", mask_personal_data), ("bpe", encode_texts)]
