@@ -15,7 +15,7 @@ from tessera.llm.shingles import runs, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window and between windows; units in each direction; size of a character's input.
-WINDOW, STRIDE, UNITS, DIM = 256, 224, 8, 4
+WINDOW, STRIDE, UNITS, DIM = 512, 464, 8, 6
 #: The network is trained on spans in at most so many rows, those with the least hash of their id, and on as many
 #: made-up spans of each kind as MADE_UP; windows of TRAIN_WINDOW characters.
 SAMPLE_ROWS, MADE_UP, TRAIN_WINDOW = 2000, 220, 96
@@ -134,6 +134,27 @@ class Model:
     def decode(self, at: np.ndarray) -> dict[int, np.ndarray]:
         """The best tags of the windows that have any but 0."""
         e, w = self.emissions(at), self.weights
+        open_ = np.flatnonzero(self._may_mark(e))
+        found = self._decoded(np.ascontiguousarray(e[:, :, open_])) if len(open_) else {}
+        return {int(open_[i]): tags for i, tags in found.items()}
+
+    def _may_mark(self, e: np.ndarray) -> np.ndarray:
+        """Whether a window can have a path better than that of 0 alone. The bound takes all tags but 0 as one,
+        with the best of their scores and moves: if no run of it gains anything, no path does."""
+        moves = self.weights["moves"] - self.weights["moves"][0, 0]
+        enter, stay, leave = moves[0, 1:].max(), moves[1:, 1:].max(), max(0.0, float(moves[1:, 0].max()))
+        gain = e[:, 1:].max(1) - e[:, 0]
+        run = gain[0] + (self.weights["first"][1:].max() - self.weights["first"][0])
+        top = run.copy()
+        for t in range(1, len(gain)):
+            np.add(run, stay, out=run)
+            np.maximum(run, enter, out=run)
+            run += gain[t]
+            np.maximum(top, run, out=top)
+        return top + leave > 0
+
+    def _decoded(self, e: np.ndarray) -> dict[int, np.ndarray]:
+        w = self.weights
         moves, (steps, k, n) = w["moves"][:, :, None], e.shape  # from, to
         best = np.empty_like(e)
         best[0] = e[0] + w["first"][:, None]
@@ -208,24 +229,36 @@ def gradients(model: Model, at: np.ndarray, tags: np.ndarray) -> tuple[float, di
     return loss, g
 
 
-def _made_up(rng: np.random.Generator) -> dict[str, list[str]]:
-    """Spans of each kind as people write them, exact or not."""
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+def made_up(rng: np.random.Generator, n: int = MADE_UP) -> list[tuple[str, str]]:
+    """(kind, span) of n spans of each kind as people write them: as the patterns have them, and as they have not,
+    with "at" and "dot", brackets, other marks between groups, or without a country's number."""
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     name = lambda a, b: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(a, b)))
-    out: dict[str, list[str]] = {k: [] for k in KINDS}
-    for _ in range(MADE_UP):
-        out["email"].append(f"{name(2, 9)}{rng.choice(['', '.', '_', '-'])}{rng.choice([digits(2), name(1, 7)])}@{name(3, 9)}{rng.choice(['', digits(1)])}.{rng.choice(['com', 'org', 'net', 'de', 'example.com', 'co.uk'])}")
-        out["ip"].append(".".join(str(x) for x in rng.integers(1, 256, 4)))
-        card = digits(15)
-        card = "4" + card[:14]
+    pick = lambda *x: str(x[int(rng.integers(0, len(x)))])
+    out: list[tuple[str, str]] = []
+    for _ in range(n):
+        at, dot = pick("@", "@", " at ", " [at] ", "(at)", " @ ", "[at]", " (at) "), pick(".", ".", " dot ", "[.]", "(dot)", " [dot] ", "[dot]")
+        if at == " at " and dot == ".":
+            dot = " dot "
+        user = f"{name(2, 9)}{pick('', '.', '_', '-')}{pick(digits(2), name(1, 7), '')}".rstrip("._-")
+        out.append(("email", f"{user}{at}{name(3, 9)}{pick('', digits(1))}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'io')}"))
+        out.append(("ip", pick(".", "[.]", " . ", "(.)", "[dot]", " dot ").join(str(x) for x in rng.integers(0, 256, 4))))
+        card = pick("4", "5", "3") + digits(14)
         card += next(c for c in "0123456789" if luhn(card + c))
-        gap = rng.choice(["", "", " ", "-"])
-        out["card"].append(gap.join(card[i : i + 4] for i in range(0, 16, 4)))
+        out.append(("card", pick("", " ", "-", ".", "/", "  ", "_", " - ").join(card[i : i + 4] for i in range(0, 16, 4))))
         a, b, c = digits(3), digits(3), digits(4)
-        out["phone"].append(str(rng.choice([f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"+{digits(2)}-{a}-{b}-{c}"])))
+        out.append(("phone", pick(f"+{digits(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"+{digits(2)} {a} {b}{c}", f"00{digits(2)} {a} {b}{c}", f"+{digits(2)}/{a}/{b}{c}")))
     return out
 
 
+def _other_use(rng: np.random.Generator) -> str:
+    """Digits and words that are no personal data: versions, years, amounts, keys, "at" and "dot" in a sentence."""
+    name = lambda a, b: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(a, b)))
+    n = lambda a, b: int(rng.integers(a, b))
+    every = [f"{n(0, 9)}.{n(0, 9)}", str(n(1, 99999)), f"{n(1900, 2100)}-{n(1, 12):02}-{n(1, 28):02}", 'token = "' + rng.bytes(16).hex() + '"', "password=" + rng.bytes(8).hex(), f"{n(0, 99)}%", f"x{n(0, 9999)}", f"{name(3, 8)} at {name(2, 7)} {name(2, 7)}", f"a dot {name(3, 7)}", f"{n(1, 24):02}:{n(0, 60):02}", f"{n(1, 999)},{n(0, 999):03}", f"v{n(0, 9)}.{n(0, 20)}.{n(0, 20)}", f"{n(1, 28)}.{n(1, 12)}.{n(1990, 2030)}", f"({n(1, 99)})", f"[{n(1, 99)}]", f"{n(1, 9)}-{n(1, 99)}", f"@{name(3, 9)}", f"{name(3, 8)} (at {name(2, 6)})", str(n(10**9, 10**11))]
+    return every[n(0, len(every))]
+
+
 def fit(texts: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Train on the spans that the exact patterns find in texts, on made-up spans put between their words, and on
     windows without any, those with digits and marks first."""
@@ -252,21 +285,16 @@ def fit(texts: list[str], seed: int = SEED, epochs: int = EPOCHS) -> Model:
     for _ in range(400):
         text = plain[int(rng.integers(0, len(plain)))]
         add(text, base_spans(text), int(rng.integers(0, len(text))))
-    for kind, spans in _made_up(rng).items():
-        for span in spans:
-            text = plain[int(rng.integers(0, len(plain)))]
-            at = int(rng.integers(0, len(text)))
-            at = text.find(" ", at) + 1 or 0
-            joined = f"{text[max(0, at - 150) : at]}{span}{rng.choice([' ', ' ', ', ', '. '])}{text[at : at + 150]}"
-            start = at - max(0, at - 150)
-            own = [s for s in base_spans(joined) if s[1] <= start or s[0] >= start + len(span)]
-            add(joined, [*own, (start, start + len(span), kind)], start - int(rng.integers(0, TRAIN_WINDOW - 30)))
-    # Digits of other use: versions, years, keys.
-    for _ in range(MADE_UP):
-        text = plain[int(rng.integers(0, len(plain)))][:150].rsplit(" ", 1)[0]
-        odd_word = str(rng.choice([f"{rng.integers(0, 9)}.{rng.integers(0, 9)}", str(rng.integers(1, 99999)), f"{rng.integers(1900, 2100)}-{rng.integers(1, 12)}-{rng.integers(1, 28)}", 'token = "' + rng.bytes(16).hex() + '"', "password=" + rng.bytes(8).hex(), f"{rng.integers(0, 99)}%", f"x{rng.integers(0, 9999)}"]))
-        joined = f"{text} {odd_word} {text}"
-        add(joined, base_spans(joined), len(text) - int(rng.integers(0, TRAIN_WINDOW // 2)))
+    # Spans that the patterns miss come twice, as no text of the corpus lends any.
+    spans = made_up(rng)
+    spans += [(kind, span) for kind, span in spans if (0, len(span), kind) not in base_spans(span)]
+    for kind, span in [*spans, *(("", _other_use(rng)) for _ in range(3 * MADE_UP))]:
+        text = plain[int(rng.integers(0, len(plain)))]
+        at = text.find(" ", int(rng.integers(0, len(text)))) + 1
+        before, after = text[max(0, at - 150) : at], text[at : at + 150]
+        joined = f"{before}{span}{rng.choice([' ', ' ', ', ', '. ', chr(10)])}{after}"
+        own = [s for s in base_spans(joined) if s[1] <= len(before) or s[0] >= len(before) + len(span)]
+        add(joined, [*own, *[(len(before), len(before) + len(span), kind)][: len(kind)]], len(before) - int(rng.integers(0, TRAIN_WINDOW - 30)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
     for epoch in range(epochs):
@@ -302,14 +330,20 @@ def _runs_of_tags(tags: np.ndarray, text: str) -> list[Span]:
     return out
 
 
+NUMBERS = re.compile("[0-9]+")
+SIGN, POINT = re.compile(r"@|(?i:\bat\b)"), re.compile(r"\.|(?i:\bdot\b)")
+
+
 def _plausible(text: str, span: Span) -> bool:
-    """Whether a decoded span has what its kind needs: an "@", four small numbers, check digits, enough digits."""
+    """Whether a decoded span has what its kind needs, however written: a sign "at" with a point behind it, four
+    small numbers, check digits, enough digits."""
     own = text[span[0] : span[1]]
     digits = "".join(DIGIT.findall(own))
     if span[2] == "email":
-        return "@" in own[1:-1]
+        sign = SIGN.search(own, 1)
+        return bool(sign and POINT.search(own, sign.end(), len(own) - 1))
     if span[2] == "ip":
-        return own.count(".") == 3 and 4 <= len(digits) <= 12
+        return len(parts := NUMBERS.findall(own)) == 4 and all(int(x) <= 255 for x in parts)
     return 12 <= len(digits) <= 19 and luhn(digits) if span[2] == "card" else 9 <= len(digits) <= 15
 
 
@@ -325,7 +359,7 @@ def decoded_spans(model: Model, texts: list[str]) -> list[list[Span]]:
     marked: dict[int, list[tuple[int, np.ndarray]]] = {}
     short: list[tuple[int, int, int]] = sorted((n, i, s) for n, found in windows.items() if n < WINDOW for i, s in found)
     # Short texts run together with the next longer ones, filled up with class 0, which training has seen.
-    batches = [(WINDOW, windows.get(WINDOW, [])[b : b + 768]) for b in range(0, len(windows.get(WINDOW, [])), 768)]
+    batches = [(WINDOW, windows.get(WINDOW, [])[b : b + 512]) for b in range(0, len(windows.get(WINDOW, [])), 512)]
     batches += [(part[-1][0], [(i, s) for _, i, s in part]) for part in (short[b : b + 64] for b in range(0, len(short), 64))]
     padded = np.r_[coded, np.zeros(WINDOW, np.uint8)]
     for steps, found in batches:
