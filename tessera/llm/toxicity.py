@@ -24,6 +24,10 @@ LEAST_TEXTS = 4
 #: In an epoch a text lends at most so many windows, drawn by chance, to training.
 WINDOWS_EACH = 6
 EPOCHS, BATCH, RATE, DECAY, SEED = 5, 128, 0.01, 0.02, 7
+#: Small samples are gone over more often, to come to so many steps.
+LEAST_STEPS = 120
+#: By how much the inputs of words and trigrams begin with their leaning, where they do.
+TOLD = 0.5
 #: Words kept with their inputs in each Python worker; at more the store starts anew.
 CACHE_WORDS = 120_000
 TRIM = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -183,10 +187,29 @@ def gradients(model: Model, found: Features, at: np.ndarray, mask: np.ndarray, l
     return loss, g
 
 
+def leanings(texts: list[set], labels: np.ndarray) -> dict:
+    """For each member of the sets: how much oftener texts of label 1 have it than those of label 0, as a log ratio,
+    held at 0 by one text of either label."""
+    every = Counter(x for own in texts for x in own)
+    ones = Counter(x for own, y in zip(texts, labels) if y for x in own)
+    n1, n0 = float(labels.sum()) + 2, float((1 - labels).sum()) + 2
+    return {x: float(np.log((ones[x] + 1) / n1) - np.log((n - ones[x] + 1) / n0)) for x, n in every.items()}
+
+
 def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None = None, seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Train on texts and their labels. A text of label 1 need not be toxic throughout: in the first epoch chance
     picks its windows, later its highest window alone stands for it. Of other texts chance picks windows in every
-    epoch. At last, scale and shift are fitted to the highest window of each text."""
+    epoch. At last, scale and shift are fitted to the highest window of each text that is kept back.
+
+    This is done twice: from inputs drawn by chance, and from inputs that begin with how telling words and their
+    trigrams are, which learns from few texts, but leans on words. The one with the less log loss on the texts kept
+    back is taken."""
+    trained = [_fit_once(texts, labels, totals, seed, epochs, told) for told in (False, True)]
+    return min(trained, key=lambda x: x[1])[0]
+
+
+def _fit_once(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None, seed: int, epochs: int, told: bool) -> tuple[Model, float]:
+    """A model, and its mean log loss on the texts kept back."""
     rng = np.random.default_rng(seed)
     split = [t.split() for t in texts]
     spelt = {w: spelling(w) for words in split for w in words}
@@ -194,16 +217,27 @@ def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None =
     model = fresh_model({x: i + 1 for i, x in enumerate(sorted(x for x, n in in_texts.items() if n >= LEAST_TEXTS))}, seed)
     if len(set(labels)) < 2 or not spelt:
         model.shift = 5.0 if sum(labels) else -5.0
-        return model
+        return model, 0.0
     ids = {w: i for i, w in enumerate(spelt)}
-    found = Features.of(list(spelt.values()), model.vocabulary)
+    names = list(spelt.values())
+    found = Features.of(names, model.vocabulary)
     words = [np.fromiter((ids[w] for w in own), np.int64, len(own)) for own in split]
     labels = np.array(labels, np.float32)
     kept_back = np.zeros(len(texts), bool)
     for c in (0, 1):
         kept_back[np.flatnonzero(labels == c)[4::5]] = True
+    if told:
+        fitted, grams = np.flatnonzero(~kept_back), np.split(found.grams, np.cumsum(found.counts)[:-1])
+        of_words = leanings([{names[j] for j in words[i]} for i in fitted], labels[fitted])
+        of_grams = leanings([set(np.concatenate([grams[j] for j in set(words[i])]).tolist()) if len(words[i]) else set() for i in fitted], labels[fitted])
+        for x, i in model.vocabulary.items():
+            model.weights["word"][i, 0] = TOLD * of_words.get(x, 0.0)
+        for x, y in of_grams.items():
+            model.weights["char"][x, 0] = TOLD * y
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     step = 0
+    windows = sum(min(WINDOWS_EACH, len(window_starts(len(own)))) for own in words)
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(windows, 1)) if epochs else 0)
     for epoch in range(epochs):
         picked: list[tuple[int, int]] = []
         toxic = [i for i in np.flatnonzero((labels == 1) & ~kept_back) if len(words[i])]
@@ -257,7 +291,7 @@ def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None =
         now = now - step
     a, b = now
     model.scale, model.shift = float(max(a, 1e-3)), float(b)
-    return model
+    return model, cost(np.array([model.scale, model.shift])) / len(labels)
 
 
 class Scorer:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,11 +36,15 @@ def test_gradients(module):
         assert (up - down) / 1e-2 == pytest.approx(float(g[at_most]), rel=0.02, abs=1e-5), name
 
 
-def test_toxicity_on_held_out_rows(spark):
-    path = "/root/testdata/sf0.01"
-    got = toxicity.query(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
-    right = sum(r.toxic == r.predicted for r in got) / len(got)
-    assert right > 0.9 and all(0 <= r.score <= 1 for r in got)
+@pytest.mark.parametrize(("size", "recall", "alarms"), [("sf0.01", 0.6, 0.03), ("sf0.1", 0.88, 0.03)])
+def test_toxicity_on_held_out_rows(spark, size, recall, alarms):
+    """Constant scores fail. sf0.01 has 45 toxic rows to learn from and 6 held out, 2 of them without any word that
+    the 45 have twice, so that 4 of 6 is the most that can be learnt there."""
+    path = f"/root/testdata/{size}"
+    got = toxicity.query(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").select("held_out", "toxic", "predicted", "score").collect()
+    share = lambda toxic, held: np.mean([r.predicted for r in got if r.toxic == toxic and r.held_out == held])
+    assert share(1, True) >= recall and share(1, False) >= 0.7 and share(0, True) <= alarms and share(0, False) <= alarms
+    assert all(0 <= r.score <= 1 for r in got)
 
 
 def test_toxicity_on_odd_rows(spark, docs, empty):
@@ -69,6 +74,37 @@ def test_base_spans_are_those_of_the_patterns():
     assert pii.base_spans("9" * 50_000 + "." + "a" * 50_000) == []
 
 
+def test_the_network_finds_what_the_patterns_miss():
+    """Recall and precision of added spans: spans that no pattern has, made up anew, in texts it was not fitted on."""
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    model, rng = pii.fit(texts[:500]), np.random.default_rng(99)
+    spans = [(kind, s) for kind, s in pii.made_up(rng, 100) if (0, len(s), kind) not in pii.base_spans(s)]
+    planted, own = [], []
+    for (kind, span), text in zip(spans, texts[500:] * 2):
+        at = text.find(" ", int(rng.integers(0, len(text)))) + 1
+        own.append(f"{text[:at]}{span} {text[at:]}")
+        planted.append((at, at + len(span), kind))
+    found, added, right = 0, 0, 0
+    for text, (a, b, kind), decoded in zip(own, planted, pii.decoded_spans(model, own)):
+        base = pii.base_spans(text)
+        new = [s for s in pii.all_spans(base, decoded) if s not in base]
+        good = [s for s in new if s[2] == kind and min(s[1], b) - max(s[0], a) >= 0.8 * (b - a) and s[1] - s[0] <= 1.2 * (b - a)]
+        found, added, right = found + bool(good), added + len(new), right + len(good)
+    assert len(planted) > 300 and found >= 0.9 * len(planted) and right >= 0.9 * added, (found, right, added, len(planted))
+
+
+def test_the_bound_on_paths_loses_none():
+    model, rng = pii.fresh_model(2), np.random.default_rng(3)
+    model.weights["moves"] = rng.normal(0, 0.3, (5, 5)).astype(np.float32)
+    for way in (0, 1):
+        model.weights[f"tags{way}"] *= 6
+    model.weights["bias"][0] = 1.5
+    at = rng.integers(0, pii.N_CLASSES, (6, 300))
+    every, kept = model._decoded(model.emissions(at)), model.decode(at)
+    assert 0 < len(every) < 300 and every.keys() == kept.keys() and all((every[i] == kept[i]).all() for i in every)
+    assert model._may_mark(model.emissions(at)).sum() < 300
+
+
 def test_spans_and_masks(spark, docs, empty):
     rows = spark.createDataFrame([(1, "write to jo@example.org or +1 (234) 555-0199 today"), (2, None), (3, ""), (4, "card 4111 1111 1111 1111 from 10.0.0.1.")], "doc_id long, text string")
     model = pii.fit(["mail jo@example.org now", "call +1 (234) 555-0199 or not"], epochs=2)
