@@ -40,7 +40,6 @@ INJECTION_PATTERNS = [
 ]
 
 # Markers of causes.
-CAUSAL = r"\b(because of|due to|caused by|driven by|blamed on|attributed to|the result of|at the (direction|insistence|behest) of|under (pressure|the influence) (of|from)|controlled by|orchestrated by|decided by|relayed by)\b"
 
 # Codes of reasoning errors and the phrases that show them.
 REASONING_ERRORS = {

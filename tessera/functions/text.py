@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +15,12 @@ WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 def contains_any(text: Column, terms: list[str]) -> Column:
     """Whether any term stands in the text, as a substring, not as a word."""
-    return F.exists(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text, t))
+    return reduce(or_, (F.contains(text, F.lit(t)) for t in terms))
 
 
 def count_present(text: Column, terms: list[str]) -> Column:
     """How many of the terms stand in the text."""
-    return F.size(F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(text, t)))
+    return reduce(add, (F.contains(text, F.lit(t)).cast("int") for t in terms))
 
 
 def split_words(text: Column) -> Column:

@@ -40,11 +40,25 @@ def fingerprints_gone(emitted: DataFrame, found: DataFrame, key: str = "fingerpr
     return emitted.join(found.select(key), key, "left_anti")
 
 
-def index_quantiles(values: Column, shares: list[float]) -> list[Column]:
-    """Values at index min(n - 1, int(share * n)) of the sorted list: no interpolation."""
-    ordered = F.sort_array(values)
-    n = F.size(ordered)
-    return [F.element_at(ordered, (F.least(n - 1, F.floor(F.lit(p) * n)) + 1).cast("int")) for p in shares]
+def index_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each key the values at index min(n - 1, int(share * n)) of its sorted values: no interpolation. Equal
+    values are counted first, so that a window holds distinct values only."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(*keys)
+    placed = counts.withColumns({"_upto": F.sum("_c").over(own.orderBy(value)), "_n": F.sum("_c").over(own)})
+    at = lambda share: F.least(F.col("_n") - 1, F.floor(F.lit(share) * F.col("_n")))
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(share), F.col(value))).alias(name) for name, share in shares.items()))
+
+
+def placed_in(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """df with place, from 0 by value descending and tie within a key, and of, the key's rows. Rows are counted by
+    whole numbers of the value first; only rows of one such number are sorted together."""
+    rows = df.withColumn("_bucket", F.floor(-F.col(value)))
+    counts = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(key)
+    before = counts.withColumns({"_before": F.sum("_c").over(own.orderBy("_bucket")) - F.col("_c"), "of": F.sum("_c").over(own)}).drop("_c")
+    inner = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(F.desc(value), F.asc(tie))) - 1
+    return rows.withColumn("_inner", inner).join(before, [key, "_bucket"]).withColumn("place", F.col("_before") + F.col("_inner")).drop("_bucket", "_before", "_inner")
 
 
 def iso_week(date: Column) -> Column:

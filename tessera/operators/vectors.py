@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_ROWS, ITERATIONS = 16, 30
+#: Searches that go out at a time.
+GROUP = 20_000
 
 
 def calibrate(rows: DataFrame, column: str = "embedding") -> tuple[np.ndarray, np.ndarray] | None:
@@ -55,3 +57,46 @@ def corrected(vector: Column, mean: np.ndarray, direction: np.ndarray) -> Column
     left = F.transform(F.arrays_zip(centred.alias("x"), dir_c.alias("d")), lambda z: z["x"] - along * z["d"])
     norm = F.sqrt(total(F.transform(left, lambda x: x * x)))
     return F.when((F.size(vector) == len(mean)) & (norm > 1e-9), F.transform(left, lambda x: x / norm)).otherwise(vector.cast("array<double>"))
+
+
+def nearest(rows: DataFrame, searches: DataFrame, most: int, group: int = GROUP) -> DataFrame:
+    """(query_id, vec_id, score): for each search the `most` rows (vec_id, embedding) with the highest cosine, from
+    each task; the caller ranks them. A search is not its own neighbour; ties go to the least vec_id.
+
+    Searches go out in groups of a bounded number of vectors, by way of the driver; rows are never dealt out anew.
+    Null vectors, and those of another length than the first search of a group, meet nothing."""
+    spark = rows.sparkSession
+    n = -(-searches.count() // group)
+    parts = [searches.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i) for i in range(n)]
+    out = None
+    for part in parts:
+        asked = part.select("vec_id", "embedding").where("embedding IS NOT NULL").orderBy("vec_id").toPandas()
+        if not len(asked):
+            continue
+        size = len(asked["embedding"].iloc[0])
+        asked = asked[[len(x) == size for x in asked["embedding"]]]
+        held = spark.sparkContext.broadcast((asked["vec_id"].to_numpy(), _units(np.stack(asked["embedding"]))))
+
+        def near(batches: Iterator[pd.DataFrame], held=held, size=size) -> Iterator[pd.DataFrame]:
+            ids, units = held.value
+            best = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+            for batch in batches:
+                batch = batch[[x is not None and len(x) == size for x in batch["embedding"]]].sort_values("vec_id")
+                if not len(batch):
+                    continue
+                own = batch["vec_id"].to_numpy()
+                scores = np.round(units @ _units(np.stack(batch["embedding"])).T, 6)
+                scores[ids[:, None] == own] = -np.inf
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                found = pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "vec_id": own[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
+                best = pd.concat([best, found[found["score"] > -np.inf]]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(most)
+            yield best
+
+        found = rows.select("vec_id", "embedding").mapInPandas(near, "query_id long, vec_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query_id long, vec_id long, score double") if out is None else out
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)

@@ -192,12 +192,12 @@ WINDOW_SQL = "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_typ
 
 
 def missed_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders (never captured), by segment."""
-    missed = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order in part (never captured), by segment."""
+    missed = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return missed.groupBy("c_mktsegment").agg(_n(), F.min("c_custkey").alias("first"))
 
 
-MISSED_SQL = "SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1"
+MISSED_SQL = "SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY 1"
 
 
 def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,12 +295,12 @@ CROSS_SQL = "SELECT lower(p_name) AS name, count(*) AS n, count(DISTINCT p_type)
 
 
 def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which a kind of event fell to half of the day before, or less."""
+    """Days on which a kind of event fell by a twentieth of the day before, or more."""
     days = table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(_n())
-    return days.withColumn("before", F.lag("n").over(Window.partitionBy("event_type").orderBy("day"))).where("n * 2 <= before")
+    return days.withColumn("before", F.lag("n").over(Window.partitionBy("event_type").orderBy("day"))).where("n * 100 <= before * 95")
 
 
-REGRESSIONS_SQL = "SELECT event_type, day, n, before FROM (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS before FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2)) WHERE n * 2 <= before"
+REGRESSIONS_SQL = "SELECT event_type, day, n, before FROM (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS before FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2)) WHERE n * 100 <= before * 95"
 
 
 def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,9 +342,8 @@ SELECT *, lead(from_day) OVER (PARTITION BY o_custkey ORDER BY epoch) AS to_day
 
 def percentile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers between the 30th and the 70th hundredth of their segment's ranking by balance, counted and summed."""
-    over = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), F.asc("c_custkey"))
-    rows = table(spark, sf_dir, "customer").withColumns({"r": F.row_number().over(over) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment"))})
-    band = rows.where((F.col("r") >= F.floor(F.col("n") * 0.3)) & (F.col("r") < F.floor(F.col("n") * 0.7)))
+    rows = A.placed_in(table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal", "c_custkey"), "c_mktsegment", "c_acctbal", "c_custkey")
+    band = rows.where((F.col("place") >= F.floor(F.col("of") * 0.3)) & (F.col("place") < F.floor(F.col("of") * 0.7)))
     return band.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("held"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
@@ -373,12 +372,14 @@ SUPPORT_SQL = "SELECT n_name, count(*) FILTER (l_returnflag <> 'R') AS supportin
 
 
 def callback_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each queue at most one loop to call back: waiting longest, with fewer than two errors so far."""
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("callbacks"), F.max("event_id").alias("last"))
-    return A.latest(events.where("callbacks < 15").withColumn("queue", F.col("user_id") % 10), ["queue"], [F.asc("last"), F.asc("user_id")])
+    """Of the open loops (orders) of each queue the one to come back to: by score, then key; its score is 2 or more,
+    it was called back less than twice, and not within the last seven days."""
+    key = F.col("o_orderkey")
+    loops = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(key, (F.col("o_custkey") % 10).alias("queue"), F.round(F.col("o_totalprice") / 100000, 3).alias("score"), (key % 4).alias("callbacks"), (key % 15).alias("days_since"))
+    return A.latest(loops.where("score >= 2 AND callbacks < 2 AND days_since > 7"), ["queue"], [F.desc("score"), F.asc("o_orderkey")])
 
 
-CALLBACK_SQL = "WITH e AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS callbacks, max(event_id) AS last FROM events GROUP BY 1) SELECT *, user_id % 10 AS queue FROM e WHERE callbacks < 15 QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY last, user_id) = 1"
+CALLBACK_SQL = "WITH l AS (SELECT o_orderkey, o_custkey % 10 AS queue, round(o_totalprice / 100000, 3) AS score, o_orderkey % 4 AS callbacks, o_orderkey % 15 AS days_since FROM orders WHERE o_orderstatus = 'O') SELECT * FROM l WHERE score >= 2 AND callbacks < 2 AND days_since > 7 QUALIFY row_number() OVER (PARTITION BY queue ORDER BY score DESC, o_orderkey) = 1"
 
 
 def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:

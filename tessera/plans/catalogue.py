@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audits, records, retrieval, text
+from tessera.plans import audits, records, retrieval, rules, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | text.QUERIES | audits.QUERIES | records.QUERIES
-SQL: dict[str, str] = retrieval.SQL | text.SQL | audits.SQL | records.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | text.QUERIES | audits.QUERIES | records.QUERIES | rules.QUERIES
+SQL: dict[str, str] = retrieval.SQL | text.SQL | audits.SQL | records.SQL | rules.SQL

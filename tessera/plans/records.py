@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import audits as A
-from tessera.operators.retrieval import ranked
+from tessera.operators.retrieval import FEW_TERMS, ranked
 from tessera.plans.retrieval import HYBRID_SQL, hybrid_retrieval, table
 
 _n = lambda: F.count(F.lit(1)).alias("n")
@@ -47,8 +47,13 @@ def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For names asked for (every fiftieth part's, a word changed) the best candidate of its brand, its score, and
     what to do: bind from 0.8, provisional from 0.6, else clarify."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("t"))
-    asked = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), "p_brand", F.array_union("t", F.array(F.lit("spare"))).alias("q"))
-    scored = asked.join(parts, "p_brand").select("asked", "p_partkey", F.round(T.jaccard(F.col("q"), F.col("t")), 4).alias("score"))
+    # Parts of one brand with equal words are one candidate, and one search: no more pairs than words allow.
+    sets = parts.select("p_partkey", "p_brand", F.array_sort(F.array_distinct("t")).alias("t"))
+    candidates = sets.groupBy("p_brand", "t").agg(F.min("p_partkey").alias("p_partkey"))
+    asked = sets.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("asked"), "p_brand", F.col("t").alias("q"))
+    met = asked.select("p_brand", "q").distinct().join(candidates, "p_brand").select("p_brand", "q", "p_partkey", F.round(T.jaccard(F.array_union("q", F.array(F.lit("spare"))), F.col("t")), 4).alias("score"))
+    met = ranked(met, [F.desc("score"), F.asc("p_partkey")], ["p_brand", "q"], 1).drop("rank")
+    scored = asked.join(met, ["p_brand", "q"]).select("asked", "p_partkey", "score")
     best = ranked(scored, [F.desc("score"), F.asc("p_partkey")], ["asked"], 1).drop("rank")
     return best.withColumn("action", F.when(F.col("score") >= 0.8, "bind").when(F.col("score") >= 0.6, "provisional").otherwise("clarify"))
 
@@ -132,7 +137,12 @@ def contradiction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", F.explode(F.array_distinct(F.filter(T.query_terms(F.col("text")), lambda t: F.length(t) > 3))).alias("term"))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     heads = table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select("doc_id", F.lower(F.substring("text", 1, 800)).alias("head"))
-    met = heads.join(F.broadcast(asked), F.contains("head", "term")).select("item_id", "doc_id").distinct()
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:  # each text is looked through once for all terms; searches join on them
+        found = heads.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda t: F.contains(F.col("head"), t))).alias("term"))
+        met = found.join(asked, "term").select("item_id", "doc_id").distinct()
+    else:
+        met = heads.join(asked, F.contains("head", "term")).select("item_id", "doc_id").distinct()
     return ranked(met, [F.asc("doc_id")], ["item_id"], 5).select("item_id", "doc_id")
 
 

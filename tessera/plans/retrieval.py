@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.operators.vectors import calibrate, corrected
-
-BLOCK = 512
+from tessera.operators.vectors import calibrate, corrected, nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,24 +76,8 @@ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, n_lanes DES
 
 
 def _topk(rows: DataFrame) -> DataFrame:
-    """The ten nearest vectors of every fiftieth one: blocks of searches meet blocks of rows, and each meeting
-    passes on ten rows for each search at most."""
-    spark = rows.sparkSession
-    block = lambda df, of: df.groupBy(of.alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows")).drop("block")
-    searches = block(rows.where("vec_id % 50 = 0"), F.floor(F.col("vec_id") / (50 * BLOCK))).withColumnRenamed("rows", "searches")
-    met = block(rows, F.floor(F.col("vec_id") / BLOCK)).crossJoin(searches)
-
-    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit = lambda x: (m := np.array([r["embedding"] for r in x], np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        for part in parts:
-            for own, asked in zip(part["rows"], part["searches"]):
-                ids, found = np.array([r["vec_id"] for r in own]), np.round(unit(asked) @ unit(own).T, 6)
-                for q, scores in zip(asked, found):
-                    at = np.lexsort((ids, -scores))
-                    at = at[ids[at] != q["vec_id"]][:10]
-                    yield pd.DataFrame({"query_id": q["vec_id"], "vec_id": ids[at], "score": scores[at]})
-
-    found = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(nearest, "query_id long, vec_id long, score double")
+    """The ten nearest vectors of every fiftieth one."""
+    found = nearest(rows, rows.where("vec_id % 50 = 0"), 10)
     return R.ranked(found, [F.desc("score"), F.asc("vec_id")], ["query_id"], 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

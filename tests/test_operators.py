@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import audits as A
+from tessera.operators import entities as E
 from tessera.operators import queue as Q
 from tessera.operators import retrieval as R
+from tessera.operators import rules as U
+from tessera.operators.vectors import nearest
 
 
 def one(spark, column):
@@ -72,6 +75,52 @@ def test_audits(spark):
     assert one(spark, A.standing(F.lit(0), F.lit(0))) == "unproven" and one(spark, A.standing(F.lit(7), F.lit(10))) == "reliable"
     assert one(spark, A.gate({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(1) == 1})) == ["a", "c"]
     assert one(spark, A.drive_score(F.lit("high"), F.lit(True), F.lit(False), F.lit(14), F.lit(0))) == 6.0
-    held = spark.createDataFrame([([5, 1, 3, 2, 4],)], "v array<int>").select(*A.index_quantiles(F.col("v"), [0.25, 0.5, 0.9])).first()
+    held = A.index_quantiles(spark.createDataFrame([(0, x) for x in (5, 1, 3, 2, 4)], "k int, v int"), ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).drop("k").first()
     assert tuple(held) == (2, 3, 5)
     assert one(spark, A.lineage([F.lit(" "), F.lit("Src ")], F.lit(3))) == "src" and one(spark, A.lineage([F.lit(None).cast("string")], F.lit(3))) == "3"
+
+
+def test_names_and_what_they_lead_to(spark):
+    entities = spark.createDataFrame([(1, ["Ada Lovelace", "Ada"]), (2, ["Grace Hopper", None]), (3, ["Mary Hopper", " "]), (4, ["Ada"]), (5, None)], "id long, names array<string>")
+    index = E.name_index(entities)
+    assert {r.key: (r.id, r.kind) for r in index.collect()} == {"ada lovelace": (1, "full"), "ada": (1, "ambiguous"), "lovelace": (1, "token"), "grace hopper": (2, "full"), "grace": (2, "token"), "hopper": (2, "ambiguous"), "mary hopper": (3, "full"), "mary": (3, "token")}
+    names = ["ADA lovelace", "Grace Hopper trip (summer)", "Lovelace", "hopper", "Lovelace, Ada", "Mary Ann Hopper", "", "grace x hopper"]
+    found = E.match_names(spark.createDataFrame(list(enumerate(names)), "proposal long, name string"), index).collect()
+    assert {r.proposal: (r.id, r.stage) for r in found} == {0: (1, "full"), 1: (2, "base"), 2: (1, "token"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None)}
+    merges = spark.createDataFrame([(3, 2)], "absorbed long, survivor long")
+    after = {r.id: (r.status, r.names) for r in E.merge_into(entities.where("id < 4"), merges).collect()}
+    assert after[2] == ("active", ["Grace Hopper", None, "Mary Hopper", " "]) and after[3][0] == "archived" and after[1][0] == "active"
+
+
+def test_mentions_are_whole_words(spark):
+    texts = spark.createDataFrame([(1, "The Red Bolt, a red bolt; redbolt red-bolts"), (2, None), (3, "red")], "doc long, text string")
+    names = spark.createDataFrame([(7, "Red bolt"), (8, "red"), (9, ""), (8, "red")], "id long, name string")
+    assert {(r.doc, r.id): r.n for r in E.mentions(texts, names, "doc").collect()} == {(1, 7): 2, (1, 8): 3, (3, 8): 1}
+
+
+def test_neighbours_of_kept_items_are_demoted(spark):
+    items = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 2, 1), (1, "c", 3, 1), (1, "d", 4, 3), (2, "b", 1, 1)], "q int, id string, rank int, n_lanes int")
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("z", "a")], "source string, target string")
+    kept = U.demote_neighbours(items, links, ["q"]).collect()
+    assert sorted((r.q, r.id) for r in kept) == [(1, "a"), (1, "c"), (1, "d"), (2, "b")]  # b is gone, so it demotes nothing
+
+
+def test_payloads_merge_and_quarantine_spreads(spark):
+    jobs = spark.createDataFrame([(1, "k", "2020", 3, {"a": "1", "b": "1"}), (2, "k", "2021", 2, {"b": "2"}), (3, "l", "2020", 1, None)], "id int, key string, created_at string, priority int, payload map<string,string>")
+    assert {r.key: (r.n, r.priority, r.payload) for r in U.merged_payload(jobs, "key").collect()} == {"k": (2, 2, {"a": "1", "b": "2"}), "l": (1, 1, None)}
+    rows = [("1", "artifact", "active", "b1", None), ("2", "claim", "active", "b2", "1"), ("3", "claim", None, None, None), ("4", "entity", "active", "b1", None), ("5", "artifact", "quarantined", None, None), ("6", "claim", "active", "b1", None)]
+    seen = U.visibility(spark.createDataFrame(rows, "id string, type string, status string, batch_id string, artifact_ref string"), spark.createDataFrame([("b1",), ("b1",)], "batch_id string"))
+    assert {r.id: r.blocked for r in seen.collect()} == {"1": "quarantined", "2": "quarantined", "3": None, "4": None, "5": "quarantined", "6": "quarantined"}
+
+
+def test_places_within_a_key(spark):
+    rows = [(k, v, i) for k in (0, 1) for i, v in enumerate([3.5, 3.2, -1.0, 3.5, None, 9.0][: 5 + k])]
+    placed = A.placed_in(spark.createDataFrame([r for r in rows if r[1] is not None], "k int, v double, i int"), "k", "v", "i").collect()
+    assert {(r.k, r.i): (r.place, r.of) for r in placed} == {(0, 0): (0, 4), (0, 3): (1, 4), (0, 1): (2, 4), (0, 2): (3, 4), (1, 5): (0, 5), (1, 0): (1, 5), (1, 3): (2, 5), (1, 1): (3, 5), (1, 2): (4, 5)}
+
+
+def test_nearest_in_several_groups(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(99, None), (98, [1.0])], "vec_id long, embedding array<double>")
+    one = {tuple(r) for r in nearest(vectors.repartition(1), vectors.where("vec_id % 10 = 0"), 4).collect()}
+    many = nearest(vectors.repartition(1), vectors.where("vec_id % 10 = 0"), 4, group=2)
+    assert one == {tuple(r) for r in many.collect()} and len(one) == 24 and all(a != b for a, b, _ in one)
