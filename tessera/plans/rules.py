@@ -46,7 +46,8 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(number % 11 == 3).select(F.concat(F.lit("b"), number.cast("string")).alias("batch_id")).distinct()
 
 
-_QUA = """bat AS (SELECT DISTINCT 'b' || p_partkey % 40 AS batch_id FROM part WHERE p_partkey % 40 % 11 = 3),
+_BATCHES_SQL = "bat AS (SELECT DISTINCT 'b' || p_partkey % 40 AS batch_id FROM part WHERE p_partkey % 40 % 11 = 3)"
+_QUA = f"""{_BATCHES_SQL},
 qa AS (SELECT id FROM rec WHERE type = 'artifact' AND (status = 'quarantined' OR batch_id IN (FROM bat)))"""
 
 
