@@ -96,3 +96,10 @@ EDGE_WHITELIST = [
     ("decision", ["open_loop"], ["links"]),
     ("open_loop", ["decision"], ["links"]),
 ]
+# Phrases of the classes of claims, the first class that matches first.
+CLAIM_CLASSES = {
+    "identity_claim": ["always", "never", "i am ", "i'm ", "identity", "person"],
+    "interpretation": ["feel", "seems", "appears", "maybe", "might", "probably", "likely"],
+    "value_statement": ["should", "need to", "must", "have to", "ought"],
+    "prediction": ["will ", "next ", "tomorrow", "soon", "expect"],
+}

@@ -100,13 +100,7 @@ def injection_hits(text: Column) -> Column:
 
 def claim_class(lowered: Column) -> Column:
     """Identity, interpretation, value, prediction or inference, by the first list that matches."""
-    return (
-        F.when(contains_any(lowered, ["always", "never", "i am ", "i'm ", "identity", "person"]), "identity_claim")
-        .when(contains_any(lowered, ["feel", "seems", "appears", "maybe", "might", "probably", "likely"]), "interpretation")
-        .when(contains_any(lowered, ["should", "need to", "must", "have to", "ought"]), "value_statement")
-        .when(contains_any(lowered, ["will ", "next ", "tomorrow", "soon", "expect"]), "prediction")
-        .otherwise("inference")
-    )
+    return F.coalesce(*(F.when(contains_any(lowered, phrases), name) for name, phrases in L.CLAIM_CLASSES.items()), F.lit("inference"))
 
 
 def reasoning_errors(lowered: Column) -> Column:

@@ -201,7 +201,7 @@ MISSED_SQL = "SELECT c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM c
 
 
 def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of returned parts that have no supplier in the supplier's nation list (links without a target)."""
+    """Returned lines whose supplier is not among those in credit (links without a target), by supplier."""
     lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
     rich = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
     return lines.join(rich, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(_n())

@@ -74,7 +74,7 @@ def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLASSES_SQL = f"""WITH d AS (SELECT role, lower(coalesce(text, '')) AS low FROM conversations)
-SELECT role, CASE WHEN {_any(["always", "never", "i am ", "i'm ", "identity", "person"])} THEN 'identity_claim' WHEN {_any(["feel", "seems", "appears", "maybe", "might", "probably", "likely"])} THEN 'interpretation' WHEN {_any(["should", "need to", "must", "have to", "ought"])} THEN 'value_statement' WHEN {_any(["will ", "next ", "tomorrow", "soon", "expect"])} THEN 'prediction' ELSE 'inference' END AS claim_class, count(*) AS n FROM d GROUP BY 1, 2"""
+SELECT role, CASE {" ".join(f"WHEN {_any(phrases)} THEN '{name}'" for name, phrases in L.CLAIM_CLASSES.items())} ELSE 'inference' END AS claim_class, count(*) AS n FROM d GROUP BY 1, 2"""
 
 
 PHRASES = ["", *(p for terms in L.REASONING_ERRORS.values() for p in terms)]
