@@ -87,32 +87,42 @@ def _by_trie(pages: DataFrame, rules: list[tuple[str, str, str]], default: str,
 
 
 def _by_join(pages: DataFrame, rules: DataFrame, default: str, url: str) -> DataFrame:
-    """For rule lists without a size bound: every host suffix of a url meets the rules of that host."""
+    """For rule lists without a size bound: every host suffix of a distinct url meets the rules of that host, of
+    which there is one for a path; what is found goes back to all pages of the url."""
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rest = F.when(F.locate("://", F.col(url)) > 0, F.expr(f"substr(`{url}`, locate('://', `{url}`) + 3)")).otherwise("")
+    rows = pages.select(F.struct(*(F.col(c) for c in pages.columns)).alias("row"), F.col(url).alias("url"))
+    rest = F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
-    own = pages.select(*keep).withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "_row": F.monotonically_increasing_id()})
+    own = rows.select("url").distinct().withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rules = rules.toDF("_host", "_path", "_verdict").groupBy("_host", "_path").agg(F.first("_verdict").alias("_verdict"))
-    met = own.select("_row", "path", F.explode(suffixes).alias("_host")).join(rules, "_host").where(F.expr("startswith(path, _path)"))
-    best = met.groupBy("_row").agg(F.max_by(F.struct(F.concat("_host", "_path").alias("rule"), F.col("_verdict").alias("verdict")), F.struct(F.length("_host"), F.length("_path"))).alias("_b"))
-    return own.join(best, "_row", "left").select(*keep, "host", "path", F.col("_b.rule").alias("rule"), F.coalesce("_b.verdict", F.lit(default)).alias("verdict"))
+    rules = rules.toDF("rule_host", "rule_path", "rule_verdict")
+    met = own.select("url", "host", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
+    best = met.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), F.struct(F.length("rule_host"), F.length("rule_path"))).alias("best"))
+    found = own.join(best, "url", "left").select(F.col("url").alias("of"), "host", "path", "best")
+    met = rows.join(found, F.col("url").eqNullSafe(F.col("of")), "left")
+    return met.select(*(F.col("row")[c].alias(c) for c in keep), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", url: str = "url") -> DataFrame:
     """Add host, path, rule and verdict to pages; columns of these names are replaced.
 
     A null url, or one without "://", has an empty host and path; an empty path starts with no rule's path.
-    Repeated rows are judged alike; an empty table gives an empty result. A rule list of at most
-    MAX_BROADCAST_RULES becomes a broadcast trie; a longer one, or a DataFrame (host, path, verdict), whose
-    size is unknown, is joined by host suffix with the same result."""
+    Repeated rows are judged alike; an empty table gives an empty result. Of rules with one host and path the first
+    of a list holds, and of a DataFrame the last verdict in the order of letters (block before allow). A rule list
+    of at most MAX_BROADCAST_RULES becomes a broadcast trie; a longer one, or a longer DataFrame (host, path,
+    verdict), is joined by host suffix with the same result."""
     if isinstance(rules, DataFrame):
-        head = rules.toDF("host", "path", "verdict").limit(MAX_BROADCAST_RULES + 1).collect()
+        rules = rules.toDF("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+        head = rules.limit(MAX_BROADCAST_RULES + 1).collect()
         return _by_join(pages, rules, default, url) if len(head) > MAX_BROADCAST_RULES else _by_trie(pages, [tuple(x) for x in head], default, url)
-    if len(rules) > MAX_BROADCAST_RULES:
-        return _by_join(pages, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), default, url)
-    return _by_trie(pages, list(rules), default, url)
+    first: dict[tuple[str, str], str] = {}
+    for host, path, verdict in rules:
+        first.setdefault((host, path), verdict)
+    listed = [(host, path, verdict) for (host, path), verdict in first.items()]
+    if len(listed) > MAX_BROADCAST_RULES:
+        return _by_join(pages, pages.sparkSession.createDataFrame(listed, "host string, path string, verdict string"), default, url)
+    return _by_trie(pages, listed, default, url)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, fingerprint, license_scan, url_filter
 from tessera.llm.catalogue import QUERIES, SQL
@@ -45,6 +46,15 @@ def test_url_rules(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 2)
     assert pick(url_filter.judge_urls(pages)) == expected
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    twice = [*url_filter.RULES, ("net", "/", "allow"), ("org", "/fr/", "block")]
+    clashing = pages.withColumns({"_row": F.lit("mine"), "best": F.lit("own"), "of": F.lit("x")})
+    for most in (2, 100):
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
+        assert pick(url_filter.judge_urls(pages, twice)) == expected  # the first of equal rules holds
+        got = url_filter.judge_urls(clashing.unionByName(clashing), twice).collect()
+        assert len(got) == 2 * len(expected) and {(r["_row"], r["best"], r["of"]) for r in got} == {("mine", "own", "x")}
+        of_table = pick(url_filter.judge_urls(pages, spark.createDataFrame(twice[:4], "a string, b string, c string")))
+        assert of_table == expected
 
 
 def test_licenses(spark, docs, empty):
