@@ -59,8 +59,12 @@ def _hash(folded: Column, t: Column, pos: Column, size: int) -> Column:
 
 
 def _consistent(slots: Column) -> Column:
-    """Whether each of the item's values always became the same one."""
-    return F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["item"], s["doc"])))) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
+    """Whether each of the item's values always became the same one, and no two of its names became one. Numbers may:
+    three and five of a thing can both be four in another wording of a question."""
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc"))))
+    names = F.filter(pairs, lambda s: F.startswith(s["item"], F.lit("<name>")))
+    one = lambda of, end: F.size(of) == F.size(F.array_distinct(F.transform(of, lambda s: s[end])))
+    return one(pairs, "item") & one(names, "doc")
 
 
 def _within(span: Column) -> Column:
@@ -91,7 +95,8 @@ def _spans(run: int, trim: bool) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, run: int = RUN, folded: bool = False) -> DataFrame:
     """One row per pair of a document and a benchmark item that leaks into it: doc_id, item_id, n_item words,
     n_match words of the item in line with the document, run (the most in a row), coverage, kind: "verbatim" if
-    the slots hold the same values, "reparameterised" if each of the item's values always became the same one.
+    the slots hold the same values, "reparameterised" if each of the item's values always became the same one and
+    names stayed apart.
 
     A document leaks an item if at an offset coverage reaches its threshold and all slots in line are consistent,
     or run does and the slots inside the run are; what else is in line by chance does not count against a run

@@ -7,7 +7,7 @@ ITEM = "If Anna buys 12 apples and 3 pears for 5 dollars each, how many euros do
 
 def leaks(spark, docs, items, **how):
     frames = [spark.createDataFrame(list(enumerate(x)), f"{c} long, text string") for c, x in (("doc_id", docs), ("item_id", items))]
-    return {(r.doc_id, r.item_id): r.kind for r in decontaminate.find_leaks(*frames, folded=True, **how).collect()}
+    return {(r.doc_id, r.item_id): r.kind for r in decontaminate.find_leaks(*frames, **{"folded": True} | how).collect()}
 
 
 def test_any_case_of_letters(spark):
@@ -47,3 +47,9 @@ def test_chance_slots_beyond_a_copied_passage(spark):
     runs = "7 takes of those old red carts over some bridge toward town in all 7 and then many other things come to pass in here"
     docs = ["9 takes of those old red carts over some bridge toward town in all 7 zz", "takes of those old red carts over some bridge toward town zz"]
     assert set(leaks(spark, docs, [runs])) == {(0, 0)}
+
+
+def test_names_must_stay_apart(spark):
+    item = "When Anna met Berta they gave 7 coins to Clara and 9 to all of their friends in town"
+    docs = [item.replace("Anna", "Xenia").replace("Berta", "Yara"), item.replace("Anna", "Xenia").replace("Berta", "Xenia"), item.replace("7", "8").replace("9", "8")]
+    assert leaks(spark, docs, [item], folded=False) == {(0, 0): "reparameterised", (2, 0): "reparameterised"}
