@@ -35,3 +35,23 @@ def test_stages(spark, tmp_path):
         found, _ = model.encode([texts[r.doc_id]])
         assert r.ids == found.tolist() and r.n_tokens == len(found)
         assert hashlib.sha256(r.decoded.encode()).digest() == hashlib.sha256(" ".join(model.tokens[i] for i in found).encode()).digest()
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    """Nulls, empty and long texts, ties, repeated rows and an empty table, in every stage."""
+    shape = lambda df: df.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    odd, none = shape(docs), shape(empty)
+    before = odd.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, odd, PATH)
+        assert stage(spark, none, PATH).count() == 0, name
+        rows = got.collect()
+        assert any(r.doc_id is None for r in rows), name
+        if i == 1:
+            texts = [(r.doc_id, r.text) for r in rows]
+            assert texts.count((60, next(t for i, t in texts if i == 60))) == 1 and {0, 1, 2, 10} <= {i for i, _ in texts} and 11 not in {i for i, _ in texts}
+        elif i == 4:
+            assert len(rows) == before and all(r.ids == [] and r.decoded == "" for r in rows if r.doc_id in (0, 1, 2))
+        else:
+            assert len(rows) == before and got.columns == odd.columns, name
+            assert [r.text for r in rows if r.doc_id == 0] == [None]
