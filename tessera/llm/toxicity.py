@@ -74,12 +74,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights; scale and shift turn a text's highest window into log odds."""
+    """Weights; scale and shift turn a text's highest window into log odds. blank: what stands for the highest window
+    of a text without words, once the model is fitted; its score is then the share of toxic labels."""
 
     weights: dict[str, np.ndarray]
     vocabulary: dict[str, int]
     scale: float = 1.0
     shift: float = 0.0
+    blank: float | None = None
 
     def inputs(self, found: Features) -> np.ndarray:
         """Word and mean character inputs, a row for each word."""
@@ -126,7 +128,7 @@ class Model:
 
     def empty(self) -> float:
         """The logit of a text without words."""
-        return float(self.weights["out_bias"][0])
+        return float(self.weights["out_bias"][0]) if self.blank is None else self.blank
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * logit + self.shift)
@@ -291,6 +293,7 @@ def _fit_once(texts: list[bytes], labels: list[int], totals: tuple[int, int] | N
         now = now - step
     a, b = now
     model.scale, model.shift = float(max(a, 1e-3)), float(b)
+    model.blank = (float(np.log(ones / zeros)) - model.shift) / model.scale
     return model, cost(np.array([model.scale, model.shift])) / len(labels)
 
 

@@ -47,7 +47,10 @@ def test_stages_on_odd_rows(spark, docs, empty):
         assert stage(spark, none, PATH).count() == 0, name
         rows = got.collect()
         assert any(r.doc_id is None for r in rows), name
-        if i == 1:
+        if i == 0:  # equal texts stay or go together; the texts are no words of the corpus, so a few may go
+            stay, every = ([r.text for r in x] for x in (rows, odd.select("text").collect()))
+            assert got.columns == odd.columns and all(stay.count(t) in (0, every.count(t)) for t in set(every)) and {None, "", " \n\t"} <= set(stay) and len(stay) >= 0.9 * before
+        elif i == 1:
             texts = [(r.doc_id, r.text) for r in rows]
             assert texts.count((60, next(t for i, t in texts if i == 60))) == 1 and {0, 1, 2, 10} <= {i for i, _ in texts} and 11 not in {i for i, _ in texts}
         elif i == 4:
