@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset, a temporary one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only where it is unset, a temporary one, which serves a
+    single machine (tests). A cluster must name its folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,7 +56,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         both = edges.select("v", "label").unionByName(edges.select(F.col("label").alias("v"), F.col("v").alias("label")))
-        least = both.groupBy("v").agg(F.min("label").alias("low")).withColumn("low", F.least("v", "low"))
+        # Stored, so that Spark can split a partition in which the neighbours of one vertex gather.
+        least = stored(both.groupBy("v").agg(F.min("label").alias("low")).withColumn("low", F.least("v", "low")), "least")
         # Every neighbour of v that is larger than v moves to v's smallest neighbour (large star) ...
         large = both.join(least, "v").where(F.col("label") > F.col("v")).select(F.col("label").alias("v"), F.col("low").alias("label"))
         large = large.where(F.col("v") != F.col("label")).distinct()
