@@ -93,9 +93,9 @@ def occurrences(passages: set[str], texts: list[str]) -> list[list[tuple[int, in
     return out
 
 
-def solver(contents: list[bytes], anchors: list[int], copies: list[int]) -> list[list[tuple[int, int]]]:
+def solver(contents: list[bytes], anchors: list[int], copies: list[int], rows: list[int]) -> list[list[tuple[int, int, bool]]]:
     texts = letters([c.split() for c in contents])
-    return occurrences(recurring_passages(texts, anchors, copies, WINDOW), texts)
+    return [[(a, b, True) for a, b in found] for found in occurrences(recurring_passages(texts, anchors, copies, WINDOW), texts)]
 
 
 UNITS = Units(WINDOW, GRAM, word_hashes, _cut, 8)

@@ -4,7 +4,12 @@ A window of `size` units (bytes or words) is governed by its anchor: among its r
 the least hash, the leftmost of equals. Equal windows have equal anchors at equal distances, so that a window can
 repeat only where its anchor does. Windows in a row with one anchor form a run, and the units they cover a
 segment. Segments whose anchor recurs meet, each distinct one once, in the shard of their anchor, where a solver
-says which of their windows repeat. The answers go back to every place where the segment stands."""
+says which of their windows repeat. The answers go back to every place where the segment stands.
+
+An anchor may recur in very many surroundings, as in a passage that a third of all texts share. Its segments are cut
+into blocks of windows by the distance of the anchor from the window's start. All windows of a block have a core in
+common, and equal windows have equal cores, so that blocks are dealt out by anchor, distance and core. Where even
+these groups are large, their windows are counted one by one, by hash, which no group of texts can crowd."""
 
 from __future__ import annotations
 
@@ -22,7 +27,14 @@ from tessera.llm.common import partitions, row_key, stored
 from tessera.llm.shingles import P, byte_rows, mixed, runs, small_batches
 
 POSITION_BITS = 21
-RANGES = "array<struct<a:int,b:int>>"
+#: Ranges of units, end exclusive; full: of at least a window.
+RANGES = "array<struct<a:int,b:int,full:boolean>>"
+ARROW_RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("full", pa.bool_())]))
+#: An anchor, or a core, whose distinct segments have more bytes is divided.
+HOT_BYTES = 4_000_000
+#: Windows are dealt to blocks of size // BLOCKS distances.
+BLOCKS = 6
+Solver = Callable[[list[bytes], list[int], list[int], list[int]], list[list[tuple[int, int, bool]]]]
 
 
 @dataclass(frozen=True)
@@ -130,76 +142,147 @@ def _runs(keyed: DataFrame, units: Units) -> DataFrame:
 
 
 def _segments(wanted: DataFrame, texts: DataFrame, units: Units) -> DataFrame:
-    """(anchor, segment, copies, content) of segments; wanted names for each a row and a place in it."""
-    per_row = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "segment", "copies", "first", "last")).alias("cuts"))
+    """(anchor, segment, copies, hot, row_no, content) of segments; wanted names for each a row and a place in it."""
+    per_row = wanted.groupBy("row_key", "row_no").agg(F.collect_list(F.struct("anchor", "segment", "copies", "hot", "first", "last")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("cuts").to_pylist(), unpacked(batch.column("packed")))
-            for cuts, text in rows:
+            rows = zip(batch.column("cuts").to_pylist(), batch.column("row_no").to_pylist(), unpacked(batch.column("packed")))
+            for cuts, row_no, text in rows:
                 parts = units.cut(text, [(c["first"], c["last"] + units.size) for c in cuts])
                 columns = [pa.array([c[k] for c in cuts], pa.int64()) for k in ("anchor", "segment", "copies")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.binary())], names=["anchor", "segment", "copies", "content"])
+                columns += [pa.array([c["hot"] for c in cuts], pa.bool_()), pa.array([row_no] * len(cuts), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "segment", "copies", "hot", "row_no", "content"])
 
-    return per_row.join(texts, "row_key").select("cuts", "packed").mapInArrow(cut, "anchor long, segment long, copies long, content binary")
+    return per_row.join(texts, "row_key").select("cuts", "row_no", "packed").mapInArrow(cut, "anchor long, segment long, copies long, hot boolean, row_no long, content binary")
 
 
-def _solved(segments: DataFrame, solver: Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int]]]], most: int) -> DataFrame:
+def _solved(segments: DataFrame, solver: Solver, most: int) -> DataFrame:
     """(anchor, segment, ranges): deal segments out by anchor, and solve them shard by shard. A shard holds whole
-    anchors up to about `most` bytes."""
+    anchors up to about `most` bytes. A segment that comes twice, from repeated rows, counts once."""
 
-    def solve(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        ranges = solver([x[3] for x in held], [x[0] for x in held], [x[2] for x in held])
-        kept = [(x[0], x[1], [{"a": a, "b": b} for a, b in r]) for x, r in zip(held, ranges) if r]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), kind))], names=["anchor", "segment", "ranges"])
+    def solve(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+        ranges = solver([x[4] for x in held], [x[0] for x in held], [x[2] for x in held], [x[3] for x in held])
+        kept = [(x[0], x[1], [{"a": a, "b": b, "full": full} for a, b, full in r]) for x, r in zip(held, ranges) if r]
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), ARROW_RANGES))], names=["anchor", "segment", "ranges"])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         weight = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "content"))):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "row_no", "content"))):
+                if held and row[:2] == held[-1][:2]:
+                    continue
                 if weight > most and row[0] != held[-1][0]:
                     yield solve(held)
                     held, weight = [], 0
                 held.append(row)
-                weight += len(row[3]) + 1
+                weight += len(row[4]) + 1
         if held:
             yield solve(held)
 
     return segments.repartition(partitions(segments.sparkSession), "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(over, f"anchor long, segment long, ranges {RANGES}")
 
 
-def repeated_ranges(docs: DataFrame, units: Units, solver: Callable, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(segments: DataFrame, units: Units) -> DataFrame:
+    """Segments of hot anchors in blocks of windows: (key, sub, anchor, segment, copies, row_no, begin, content). key:
+    hash of anchor, block and core; sub: hash of the content; begin: where it begins in the segment."""
+    width, wide = max(1, units.size // BLOCKS), units.size - units.gram + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, segment, copies, row_no, content in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "row_no", "content"))):
+                hashes, counts = units.hashes([content])
+                places = gram_hashes(hashes, units.gram) >> np.uint64(POSITION_BITS)
+                at, last = int(places.argmin()), int(counts[0]) - units.size  # all windows have the least one in common
+                rows, cuts = [], []
+                for block in range(-(-wide // width)):
+                    low, high = max(0, at - (block + 1) * width + 1), min(last, at - block * width)
+                    if low <= high:
+                        core = hashes[at - block * width : at - (block + 1) * width + 1 + units.size]
+                        key = xxhash.xxh3_64_intdigest(core.tobytes(), seed=(anchor ^ block) & (2**64 - 1))
+                        rows.append((key, xxhash.xxh3_64_intdigest(hashes[low : high + units.size].tobytes()), low))
+                        cuts.append((low, high + units.size))
+                n = len(rows)
+                key, sub, begin = zip(*rows)
+                own = [np.array(x, np.uint64).view(np.int64) for x in (key, sub)]
+                columns = [*own, *(np.full(n, x, np.int64) for x in (anchor, segment, copies, row_no)), np.array(begin, np.int32), units.cut(content, cuts)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:-1]), pa.array(columns[-1], pa.binary())], names=["key", "sub", "anchor", "segment", "copies", "row_no", "begin", "content"])
+
+    return segments.mapInArrow(cut, "key long, sub long, anchor long, segment long, copies long, row_no long, begin int, content binary")
+
+
+def _counted(subs: DataFrame, units: Units) -> DataFrame:
+    """(anchor, segment, ranges) of segments whose windows are compared one by one, by hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, segment, copies, content in zip(*(batch.column(k).to_pylist() for k in ("anchor", "segment", "copies", "content"))):
+                hashes, _ = units.hashes([content])
+                n = len(hashes) - units.size + 1
+                found = np.fromiter((xxhash.xxh3_64_intdigest(hashes[i : i + units.size].tobytes()) for i in range(n)), np.uint64, n).view(np.int64)
+                columns = [np.full(n, anchor), np.full(n, segment), np.full(n, copies), np.arange(n, dtype=np.int32), found]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["anchor", "segment", "copies", "i", "window"])
+
+    windows = stored(subs.select("anchor", "segment", "copies", "content").mapInArrow(cut, "anchor long, segment long, copies long, i int, window long"), "windows")
+    again = stored(windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"), "again")
+    found = windows.join(again, ["anchor", "window"]).groupBy("anchor", "segment")
+    return found.agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + units.size).alias("b"), F.lit(True).alias("full"))).cast(RANGES).alias("ranges"))
+
+
+def _solved_hot(segments: DataFrame, units: Units, solver: Solver, most: int) -> DataFrame:
+    """(anchor, segment, ranges) of segments of anchors with very many of them."""
+    blocks = stored(_blocks(segments.dropDuplicates(["anchor", "segment"]), units), "blocks")
+    subs = stored(blocks.groupBy("key", "sub").agg(F.sum("copies").alias("copies"), F.min(F.struct("row_no", "content")).alias("c")).select(F.col("key").alias("anchor"), F.col("sub").alias("segment"), "copies", "c.*"), "subs")
+    keys = stored(subs.groupBy("anchor").agg(F.sum("copies").alias("n"), F.sum(F.length("content")).alias("weight")).where("n > 1").drop("n"), "cores")
+    met = subs.join(keys, "anchor")
+    found = _solved(met.where(F.col("weight") <= HOT_BYTES).drop("weight"), solver, most)
+    found = stored(found.unionByName(_counted(met.where(F.col("weight") > HOT_BYTES).drop("weight"), units)), "solved")
+    back = blocks.select(F.col("key"), F.col("sub"), "anchor", "segment", "begin").join(found.select(F.col("anchor").alias("key"), F.col("segment").alias("sub"), "ranges"), ["key", "sub"])
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("begin")).alias("a"), (r["b"] + F.col("begin")).alias("b"), r["full"].alias("full")))
+    return back.groupBy("anchor", "segment").agg(F.flatten(F.collect_list(moved)).cast(RANGES).alias("ranges"))
+
+
+def repeated_ranges(docs: DataFrame, units: Units, solver: Solver, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
     """What repeats in docs (doc_id, text): a table row_key, ranges (of units, end exclusive, unmerged) for rows
     that have any; and a table row_key, doc_id, packed of all rows.
 
     Equal texts under one id share a row_key and stand in the first table once. Segments that stand in many places
-    are dealt to the solver once, with their number; a recurring anchor with many distinct segments goes to one
-    shard, so that shard grows with the number of its distinct surroundings, not with its copies."""
+    are dealt to the solver once, with their number. Tables are stored before they meet by anchor, so that Spark can
+    split a partition in which one anchor gathers."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(row_key().alias("row_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = stored(_runs(keyed, units).withColumn("row_no", F.monotonically_increasing_id()), "runs")
     places = found.select("row_no", F.explode(F.arrays_zip("anchors", "segments", "firsts", "lasts")).alias("p"))
     places = places.select("row_no", *(F.col(f"p.{a}").alias(b) for a, b in (("anchors", "anchor"), ("segments", "segment"), ("firsts", "first"), ("lasts", "last"))))
-    recurring = places.groupBy("anchor").count().where("count > 1").select("anchor")
-    places = stored(places.join(recurring, "anchor", "left_semi"), "places")
-    distinct = places.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_no", "first", "last")).alias("p"))
+    recurring = stored(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    places = stored(places.join(recurring, "anchor"), "places")
+    distinct = stored(places.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_no", "first", "last")).alias("p")), "distinct")
+    weight = F.sum((F.col("p.last") - F.col("p.first") + units.size) * units.bytes_each)
+    hot = stored(distinct.groupBy("anchor").agg(weight.alias("weight")).where(F.col("weight") > HOT_BYTES).select("anchor", F.lit(True).alias("hot")), "hot")
     keys = found.select("row_no", "row_key")
-    wanted = distinct.select("anchor", "segment", "copies", "p.*").join(keys, "row_no")
-    texts = keyed.select("row_key", packed().alias("packed"))
-    solved = stored(_solved(_segments(wanted, texts, units), solver, shard_bytes), "solved")
-    solved = solved.dropDuplicates(["anchor", "segment"])
-    hits = places.join(solved, ["anchor", "segment"]).select("row_no", F.explode(F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))).alias("r"))
+    wanted = distinct.join(hot, "anchor", "left").select("anchor", "segment", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), "p.*").join(keys, "row_no")
+    segments = _segments(wanted, keyed.select("row_key", packed().alias("packed")), units)
+    if hot.limit(1).count():  # both kinds come from one pass over the texts
+        segments = stored(segments, "segments")
+        of_hot = [stored(_solved_hot(segments.where("hot"), units, solver, shard_bytes), "solved")]
+    else:
+        of_hot = []
+    solved = stored(_solved(segments.where("NOT hot"), solver, shard_bytes), "solved")
+    for more in of_hot:
+        solved = solved.unionByName(more)
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"), r["full"].alias("full")))
+    hits = places.join(solved, ["anchor", "segment"]).select("row_no", F.explode(moved).alias("r"))
     ranges = hits.groupBy("row_no").agg(F.collect_set("r").alias("ranges")).join(keys, "row_no").select("row_key", "ranges").dropDuplicates(["row_key"])
     return ranges, keyed.select("row_key", "doc_id", packed().alias("packed"))
 
 
-def covered(ranges: list[dict] | None, n: int) -> tuple[np.ndarray, int]:
-    """Which of n units the ranges cover, and how many maximal runs they form."""
+def covered(ranges: list[dict] | None, n: int, full: bool = True) -> tuple[np.ndarray, int]:
+    """Which of n units the ranges cover, and how many maximal runs they form; without full, shorter ones count too."""
     edges = np.zeros(n + 1, np.int64)
-    if ranges is not None and len(ranges):
+    ranges = [r for r in ranges or () if r["full"] or not full]
+    if ranges:
         np.add.at(edges, [r["a"] for r in ranges], 1)
         np.add.at(edges, [r["b"] for r in ranges], -1)
     inside = np.cumsum(edges)[:n] > 0

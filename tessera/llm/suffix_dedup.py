@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.repeats import RANGES, Units, covered, repeated_ranges, unpacked
+from tessera.llm.repeats import POSITION_BITS, RANGES, Units, covered, gram_hashes, repeated_ranges, unpacked
 from tessera.llm.shingles import small_batches
 
 #: Bytes of a repeated string, and of an anchor.
 LENGTH, GRAM = 400, 64
+#: Bytes of shorter repeats that are reported beside, where the transform meets them.
+PASSAGE = 256
 #: Bytes of distinct segments in one transform; a recurring anchor with more has one for itself.
 SHARD_BYTES = 1_000_000
 BYTE_HASH = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -81,8 +83,9 @@ def short_prefixes(order: np.ndarray, codes: np.ndarray, most: int) -> np.ndarra
     return shared
 
 
-def unseparated(order: np.ndarray, codes: np.ndarray, length: int, seed: int = 12) -> np.ndarray:
-    """Whether each suffix shares at least `length` codes with the one before it in order.
+def common_prefixes(order: np.ndarray, codes: np.ndarray, length: int, seed: int = 12) -> np.ndarray:
+    """How many codes each suffix shares with the one before it in order; `length` stands for as many or more, -1 for
+    the first.
 
     Common prefixes shorter than seed are compared directly. From there intervals of strings of k codes, whose
     upper boundary has just become known, are extended to the left: the interval of c + string lies at the images
@@ -91,7 +94,7 @@ def unseparated(order: np.ndarray, codes: np.ndarray, length: int, seed: int = 1
     next round. Each boundary becomes known once."""
     n = len(codes)
     if n < 2:
-        return np.zeros(n, bool)
+        return np.full(n, -1)
     seed = min(seed, length)
     known = short_prefixes(order, codes, seed)
     known[known == seed] = -2  # not yet
@@ -123,38 +126,87 @@ def unseparated(order: np.ndarray, codes: np.ndarray, length: int, seed: int = 1
         open_[open_] = known[new_high[open_]] == -2
         known[new_high[open_]] = k
         low, high = new_low[open_], new_high[open_]
-    return known == -2
+    known[known == -2] = length
+    return known
 
 
-def repeated_starts(contents: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, where a substring of so many bytes begins that begins elsewhere too, in any of them."""
+def repeated_starts(contents: list[bytes], length: int, rows: list[int] | None = None, passage: int | None = None) -> tuple[list[np.ndarray], list[list[tuple[int, int]]]]:
+    """For each string, where a substring of so many bytes begins that begins elsewhere too, in any of them. And, if
+    asked for, ranges of shorter substrings, of at least `passage` bytes, that neighbours in the order share; they
+    must come from different rows, as strings of one row may overlap there."""
     joined = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
     alphabet = np.unique(joined)
     codes = (np.searchsorted(alphabet, joined) + 1).astype(np.uint8)  # UTF-8 never has all byte values
-    codes[np.cumsum([len(c) + 1 for c in contents]) - 1] = 0  # separators, which equal no byte of a text
+    ends = np.cumsum([len(c) + 1 for c in contents]) - 1
+    codes[ends] = 0  # separators, which equal no byte of a text
     order = sorted_suffixes(codes, length)
-    same = unseparated(order, codes, length)
+    shared = common_prefixes(order, codes, length)
     again = np.zeros(len(codes), bool)
-    pair = np.flatnonzero(same)
+    pair = np.flatnonzero(shared == length)
     again[order[pair]] = again[order[pair - 1]] = True
     out, at = [], 0
     for c in contents:
         out.append(np.flatnonzero(again[at : at + max(0, len(c) - length + 1)]))
         at += len(c) + 1
-    return out
-
-
-def _merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
+    if passage is None:
+        return out, [[] for _ in contents]
+    pair = np.flatnonzero((shared >= passage) & (shared < length))
+    x, y = order[pair - 1], order[pair]
+    of_x, of_y = np.searchsorted(ends, x), np.searchsorted(ends, y)
+    size = np.minimum(shared[pair], np.minimum(ends[of_x] - x, ends[of_y] - y))
+    own = np.array(rows)
+    good = (size >= passage) & (own[of_x] != own[of_y])
+    first, size, owner = np.r_[x[good], y[good]], np.r_[size[good], size[good]], np.r_[of_x[good], of_y[good]]
+    by_place = np.argsort(first)
+    first, owner = first[by_place], owner[by_place]
+    reach = np.maximum.accumulate(first + size[by_place]) if len(first) else first
+    cut = np.flatnonzero(first[1:] > reach[:-1]) + 1  # no range reaches beyond its string
+    begins = np.r_[0, ends[:-1] + 1]
+    short: list[list[tuple[int, int]]] = [[] for _ in contents]
+    for a, b in zip(np.r_[0, cut], np.r_[cut, len(first)]):
+        if a < b:
+            short[owner[a]].append((int(first[a] - begins[owner[a]]), int(reach[b - 1] - begins[owner[a]])))
+    return out, short
+
+
+def _merged(starts: np.ndarray, length: int) -> list[tuple[int, int, bool]]:
     if not len(starts):
         return []
     gap = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + length).tolist()))
-
-
-def solver(contents: list[bytes], anchors: list[int], copies: list[int]) -> list[list[tuple[int, int]]]:
-    """Repeated bytes of segments. One that stands in more than one place repeats throughout."""
-    found = repeated_starts(contents, LENGTH)
-    return [[(0, len(c))] if n > 1 else _merged(s, LENGTH) for c, n, s in zip(contents, copies, found)]
+    first, last = starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + length).tolist()
+    return [(a, b, True) for a, b in zip(first, last)]
+
+
+def shared_around(contents: list[bytes], anchors: list[int], side: int) -> list[bool]:
+    """For each segment, whether another of its anchor has the same `side` bytes behind the anchor, or before it.
+
+    Equal strings of GRAM + 2 * side bytes or more that hold the anchor have one of these in common, so that other
+    segments need not enter the transform."""
+    hashes, counts = byte_hashes(contents)
+    grams = gram_hashes(hashes, GRAM) >> np.uint64(POSITION_BITS)
+    seen: dict[tuple[int, int, bytes], int] = {}
+    around, at = [], 0
+    for content, anchor, n in zip(contents, anchors, counts.tolist()):
+        place = int(grams[at : at + n - GRAM + 1].argmin())  # the anchor is the least run of a segment
+        own = [(anchor, 1, content[place : place + GRAM + side])] if place + GRAM + side <= n else []
+        if place >= side:
+            own.append((anchor, 0, content[place - side : place + GRAM]))
+        for x in own:
+            seen[x] = seen.get(x, 0) + 1
+        around.append(own)
+        at += n
+    return [any(seen[x] > 1 for x in own) for own in around]
+
+
+def solver(contents: list[bytes], anchors: list[int], copies: list[int], rows: list[int]) -> list[list[tuple[int, int, bool]]]:
+    """Repeated bytes of segments, and shorter repeats. A segment that stands in more than one place repeats
+    throughout. Segments that share too little around their anchor for a passage are left out of the transform."""
+    keep = [i for i, x in enumerate(shared_around(contents, anchors, (PASSAGE - GRAM) // 2)) if x]
+    found, short = repeated_starts([contents[i] for i in keep], LENGTH, [rows[i] for i in keep], PASSAGE) if keep else ([], [])
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in contents]
+    for i, starts, more in zip(keep, found, short):
+        out[i] = [*_merged(starts, LENGTH), *((a, b, False) for a, b in more)]
+    return [[(0, len(c), True)] if n > 1 else x for c, n, x in zip(contents, copies, out)]
 
 
 def _cut(text: bytes, places: list[tuple[int, int]]) -> list[bytes]:
@@ -162,12 +214,16 @@ def _cut(text: bytes, places: list[tuple[int, int]]) -> list[bytes]:
 
 
 UNITS = Units(LENGTH, GRAM, byte_hashes, _cut, 1)
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept: the bytes of
-    each text that no repeated string of LENGTH bytes covers.
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, n_repeated and, if asked for, kept: the
+    bytes of each text that no repeated string of LENGTH bytes covers.
+
+    n_repeated counts the removed bytes and, beside them, those of strings of PASSAGE bytes or more that another text
+    has too, which stay. Of strings shorter than LENGTH only those are found whose anchor governs a window in both
+    texts, about nine in ten of 300 bytes.
 
     Strings are judged on the input; one repeats if it begins anywhere else, in the same text too; none crosses
     texts. A null text is empty; texts shorter than LENGTH are left alone. Each row of docs gives one row, repeated
@@ -180,11 +236,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         for batch in batches:
             rows = []
             for i, r, text in zip(batch.column("doc_id").to_pylist(), batch.column("ranges").to_pylist(), unpacked(batch.column("packed"))):
-                gone, spans = covered(r, len(text))
-                kept = text if not spans else np.frombuffer(text, np.uint8)[~gone].tobytes()
-                rows.append((i, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            columns = list(zip(*rows)) or [[]] * 6
+                kept, spans, repeated = text, 0, 0
+                if r:
+                    gone, spans = covered(r, len(text))
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    repeated = int(covered(r, len(text), full=False)[0].sum())
+                rows.append((i, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), repeated, kept if keep_text else None))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return texts.join(ranges, "row_key", "left").select("doc_id", "packed", F.col("ranges").cast(RANGES).alias("ranges")).mapInArrow(over, RESULT)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import phrase_automata, suffix_dedup
+from tessera.llm import phrase_automata, repeats, suffix_dedup
 from tessera.llm.repeats import gram_hashes, governed
 
 
@@ -26,7 +26,11 @@ def brute(units, size, join):
 
 
 @pytest.mark.parametrize("module, size, cut, join, n", [(phrase_automata, 35, bytes.split, b" ".join, "n_words"), (suffix_dedup, 400, bytes, b"".join, "n_bytes")])
-def test_whole(docs, corpus, empty, module, size, cut, join, n):
+@pytest.mark.parametrize("hot", [None, 3000, 1])
+def test_whole(docs, corpus, empty, monkeypatch, module, size, cut, join, n, hot):
+    """hot: bytes beyond which an anchor is divided; with 1, blocks and then single windows do all the work."""
+    if hot:
+        monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     expected = brute([cut((t or "").encode()) for _, t in corpus], size, join)
     got = module.remove_repeats(docs).select("doc_id", n, "n_removed", "kept_sha256", "kept").collect()
     key = lambda x: (x[0] is not None, *map(str, x))
@@ -47,7 +51,7 @@ def test_repeated_starts_on_small_strings():
             texts.append(b"".join(parts))
         size = rng.choice([3, 9, 14, 20, 33, 40])
         seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
-        assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, size)] == [[i for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1] for t in texts]
+        assert [x.tolist() for x in suffix_dedup.repeated_starts(texts, size)[0]] == [[i for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1] for t in texts]
 
 
 def test_anchors_govern_every_window_alike():
@@ -62,3 +66,17 @@ def test_anchors_govern_every_window_alike():
     assert all(of[100 + i] == of[403 + i] for i in range(151))
     grams = gram_hashes(units, 13)
     assert len(grams) == len(units) - 12 and len({grams[100 + i] == grams[403 + i] for i in range(180)}) == 1
+
+
+def test_shorter_repeats_are_reported_and_stay(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages, rows = [text(53)[:330] for _ in range(60)], []
+    for p in passages:
+        rows += [f"{text(200)} {p} {text(200)}", f"{text(150)} {p} {text(90)}"]
+    rows += [text(400) for _ in range(60)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(r.n_removed == 0 and r.n_repeated <= 340 and bytes(r.kept).decode() == rows[i] for i, r in got.items())
+    assert sum(got[i].n_repeated >= suffix_dedup.PASSAGE for i in range(120)) >= 0.85 * 120
+    assert all(got[i].n_repeated == 0 for i in range(120, 180))
