@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     n_repeated counts the removed bytes and, beside them, those of strings of PASSAGE bytes or more that another text
     has too, which stay. Of strings shorter than LENGTH only those are found whose anchor governs a window in both
-    texts, about nine in ten of 300 bytes.
+    texts, so that it is a lower bound.
 
     Strings are judged on the input; one repeats if it begins anywhere else, in the same text too; none crosses
     texts. A null text is empty; texts shorter than LENGTH are left alone. Each row of docs gives one row, repeated
