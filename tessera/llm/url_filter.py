@@ -83,7 +83,9 @@ def _by_trie(pages: DataFrame, rules: list[tuple[str, str, str]], default: str,
             rows.append((host, path, *(found or (None, default))))
         return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"])
 
-    return pages.select(*(F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")), judged(url).alias("judged")).select("*", "judged.*").drop("judged")
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    both = pages.select(F.struct(*(F.col(c) for c in pages.columns)).alias("row"), judged(url).alias("judged"))
+    return both.select(*(F.col("row")[c].alias(c) for c in keep), "judged.*")
 
 
 def _by_join(pages: DataFrame, rules: DataFrame, default: str, url: str) -> DataFrame:

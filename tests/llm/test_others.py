@@ -47,7 +47,7 @@ def test_url_rules(spark, monkeypatch):
     assert pick(url_filter.judge_urls(pages)) == expected
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
     twice = [*url_filter.RULES, ("net", "/", "allow"), ("org", "/fr/", "block")]
-    clashing = pages.withColumns({"_row": F.lit("mine"), "best": F.lit("own"), "of": F.lit("x")})
+    clashing = pages.withColumns({"_row": F.lit("mine"), "best": F.lit("own"), "of": F.lit("x"), "judged": F.lit("j"), "row": F.lit("r"), "verdict": F.lit("v")})
     for most in (2, 100):
         monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", most)
         assert pick(url_filter.judge_urls(pages, twice)) == expected  # the first of equal rules holds
@@ -136,4 +136,6 @@ def test_compatible_pairs_are_those_that_merging_keeps():
 
     a, b = (np.array([rng.choice(x) for _ in range(4000)]) for x in (inner, last))
     for x, y, good in zip(a, b, model.compatible(a, b)):
-        assert good == (model.merged(model.tokens[x] + model.tokens[y][:-4]) == [x, y])
+        letters = [*model.tokens[x], *model.tokens[y][:-4]]
+        ids = [*(int(model.single[0, ord(c)]) for c in letters[:-1]), int(model.single[1, ord(letters[-1])])]
+        assert good == (model.merged(ids) == [x, y])
