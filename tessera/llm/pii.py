@@ -416,7 +416,8 @@ def with_spans(docs: DataFrame, model: Model, column: str = "text") -> DataFrame
         return pa.StructArray.from_arrays([as_rows(base), as_rows(spans)], names=["base", "spans"])
 
     kept = [c for c in docs.columns if c not in ("base", "spans")]  # columns of these names are replaced
-    return docs.select(*kept, found(F.col(column)).alias("_found")).select(*kept, F.col("_found.base").alias("base"), F.col("_found.spans").alias("spans"))
+    both = docs.select(F.struct(*docs.columns).alias("row"), found(F.col(column)).alias("both"))
+    return both.select(*(F.col("row")[c].alias(c) for c in kept), "both.*")
 
 
 def mask(text: str, spans: list[dict]) -> str:

@@ -112,6 +112,8 @@ def test_spans_and_masks(spark, docs, empty):
     for i, r in found.items():
         base = [(s.start, s.end, s.kind) for s in r.base]
         assert base == brute_base(r.text or "") and set(base) <= {(s.start, s.end, s.kind) for s in r.spans}
+    clashing = rows.withColumns({c: F.lit("mine") for c in ("_found", "both", "row", "found", "base")})
+    assert {(r["_found"], r["both"], r["row"], r["found"]) for r in pii.with_spans(clashing, model).collect()} == {("mine",) * 4}
     masked = {r.doc_id: r.text for r in pii.masked(rows, model).collect()}
     assert "jo@" not in masked[1] and "[EMAIL]" in masked[1] and masked[2] is None and masked[3] == "" and "[CARD]" in masked[4] and "10.0.0.1" not in masked[4]
     kept = pii.masked(docs, model)
