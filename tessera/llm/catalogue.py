@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprint, jaccard_join, license_scan, phrase_automata, pii, suffix_dedup, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, jaccard_join, license_scan, phrase_automata, pii, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": decontaminate.query,
     "op9_substring_dedup": phrase_automata.query,
     "op10_license_scans": license_scan.query,
+    "op11_spelling_variants": spelling.query,
 }
 SQL: dict[str, str] = {"op2_url_filters": url_filter.SQL, "op10_license_scans": license_scan.SQL}
