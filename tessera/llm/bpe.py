@@ -7,11 +7,12 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ SPACES = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
 PIECES_OF_LINES = regex.compile(PIECE + "|\n")
-#: Words kept with their ids in each Python worker; at more the store starts anew.
-CACHE_WORDS = 150_000
+#: Pieces kept with their ids in each Python worker; at more the store starts anew.
+CACHE_PIECES = 400_000
 #: Longer pieces are merged with a heap, shorter ones so many at a time in a matrix.
 SHORT_PIECE, ROWS = 40, 4096
 NEVER = np.int64(2**62)
@@ -93,7 +94,7 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        """Let go of all words kept."""
+        """Let go of all pieces kept."""
         self.cache.clear()
         self.flat, self.starts, self.lens = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -225,29 +226,42 @@ class WordBpe:
             filled += len(more[-1])
         return np.concatenate(more), starts, lens
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words (runs without white space) into the store."""
-        if not words:
-            return
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of new pieces into the store."""
+        ids, starts, lens = self.encode_pieces(pieces)
+        self.cache.update(zip(pieces, range(len(self.starts), len(self.starts) + len(pieces))))
+        self.starts, self.lens = np.r_[self.starts, len(self.flat) + starts], np.r_[self.lens, lens]
+        self.flat = np.r_[self.flat, ids.astype(np.int32)]
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (runs without white space; special tokens after a NUL), and the offsets of the words."""
         low = unicodedata.normalize("NFC", "\n".join(words)).replace("Σ", "σ").lower().split("\n")
+        special = [i for i, w in enumerate(words) if w[:1] == "\0" and w[1:] in self.special]
+        for i in special:
+            low[i] = ""
         whole = [w.isascii() and w.isalpha() for w in low]
-        cut = PIECES_OF_LINES.findall("\n".join([w for w, one in zip(low, whole) if not one]) + "\n") if not all(whole) else []
-        own = np.ones(len(words), np.int64)  # pieces of each word
-        line_ends = np.fromiter((i for i, p in enumerate(cut) if p == "\n"), np.int64)
-        own[~np.array(whole)] = np.diff(np.r_[-1, line_ends]) - 1
-        rows = iter([p for p in cut if p != "\n"])
-        every = [w if one else None for w, one in zip(low, whole)] if cut else low
-        if cut:
-            every = list(chain.from_iterable((w,) if w is not None else islice(rows, n) for w, n in zip(every, own.tolist())))
-        number = dict(zip(dict.fromkeys(every), count()))
-        ids, starts, lens = self.encode_pieces(list(number))
-        piece = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        lens, ends = lens[piece], np.cumsum(lens[piece])
-        flat = ids[np.repeat(starts[piece] - ends + lens, lens) + np.arange(int(lens.sum()))]
-        of_word = np.r_[0, ends][np.r_[0, np.cumsum(own)]]
-        self.cache.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
-        self.starts, self.lens = np.r_[self.starts, len(self.flat) + of_word[:-1]], np.r_[self.lens, np.diff(of_word)]
-        self.flat = np.r_[self.flat, flat.astype(np.int32)]
+        own, pieces = np.ones(len(words), np.int64), low  # pieces of each word
+        if not all(whole):
+            cut = PIECES_OF_LINES.findall("\n".join([w for w, one in zip(low, whole) if not one]) + "\n")
+            line_ends = np.fromiter((i for i, p in enumerate(cut) if p == "\n"), np.int64)
+            own[~np.array(whole)] = np.diff(np.r_[-1, line_ends]) - 1
+            rows = iter([p for p in cut if p != "\n"])
+            pieces = list(chain.from_iterable((w,) if one else islice(rows, n) for w, one, n in zip(low, whole, own.tolist())))
+        every = set(pieces)
+        fresh = every - self.cache.keys()
+        if len(fresh) + len(self.cache) > CACHE_PIECES:
+            self.forget()
+            fresh = every
+        self._learn(list(fresh))
+        at = np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))
+        flat, ends = _taken(self.flat, self.starts[at], self.lens[at])
+        offsets = ends[np.r_[0, np.cumsum(own)]]
+        if special:
+            flat = np.insert(flat, offsets[special], [self.special[words[i][1:]] for i in special])
+            more = np.zeros(len(words), np.int64)
+            more[special] = 1
+            offsets = offsets + np.r_[0, np.cumsum(more)]
+        return flat, offsets
 
     def _words(self, text: str) -> list[str]:
         words = text.split() if not EXTRA_SPACES.search(text) else [w for w in SPACES.split(text) if w]
@@ -263,25 +277,24 @@ class WordBpe:
             at = m.end()
         return out + self._words(text[at:])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the offsets of the texts."""
-        split = [self._split(t) if t else [] for t in texts]
-        every = set().union(*split)
-        fresh = every - self.cache.keys()
-        if len(fresh) + len(self.cache) > CACHE_WORDS:
-            self.forget()
-            fresh = every
-        special = {w: self.special[w[1:]] for w in fresh if w[0] == "\0" and w[1:] in self.special}
-        self._learn(list(fresh - special.keys()))
-        for w, i in special.items():
-            self.cache[w] = len(self.starts)
-            self.starts, self.lens, self.flat = np.r_[self.starts, len(self.flat)], np.r_[self.lens, 1], np.r_[self.flat, np.int32(i)]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        lens = self.lens[at]
-        ends = np.r_[0, np.cumsum(lens)]
-        take = np.repeat(self.starts[at] - ends[:-1], lens) + np.arange(ends[-1])
-        return self.flat[take], ends[np.r_[0, np.cumsum(counts)]]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings or nulls) in a row, and the offsets of the texts."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if pc.any(pc.match_substring_regex(texts, r"<\||[\x1c-\x1f]")).as_py():
+            split = pa.array([self._split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        flat, offsets = self._of_words(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        out, ends = _taken(flat, offsets[at], np.diff(offsets)[at])
+        return out, ends[np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat with these starts and lengths in a row, and their offsets."""
+    ends = np.r_[0, np.cumsum(lens)]
+    return flat[np.repeat(starts - ends[:-1], lens) + np.arange(ends[-1])], ends
 
 
 class Decoder:
@@ -315,23 +328,23 @@ class Decoder:
 _LOADED: dict[tuple[type, str], WordBpe | Decoder] = {}
 
 
-def _model(path: str, kind: type = WordBpe) -> WordBpe | Decoder:
+def model_of(path: str, kind: type = WordBpe) -> WordBpe | Decoder:
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]
 
 
-def _tidy() -> None:
-    """Let go of words kept and of free Arrow memory: the worker may serve other work next."""
+def tidy() -> None:
+    """Let go of pieces kept and of free Arrow memory: the worker may serve other work next."""
     for model in _LOADED.values():
         if isinstance(model, WordBpe):
             model.forget()
     pa.default_memory_pool().release_unused()
 
 
-def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
     """Runs of rows with about so many bytes, to bound what one step holds."""
-    sizes = np.cumsum([0, *(len(x) if x is not None else 0 for x in texts.to_pylist())])
+    sizes = np.r_[0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most)))
@@ -360,10 +373,10 @@ def encode(df: DataFrame, path: str | None = None, column: str = "text", to: str
 
     @F.arrow_udf("array<int>")
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path)
+        model = model_of(path)
         for texts in parts:
-            yield pa.concat_arrays([NO_IDS, *(_ids(*model.encode(x.to_pylist())) for x in _slices(texts))])
-        _tidy()
+            yield pa.concat_arrays([NO_IDS, *(_ids(*model.encode(x)) for x in _slices(texts))])
+        tidy()
 
     return df.withColumn(to, encoded(F.col(column)))
 
@@ -376,7 +389,7 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", to: str
 
     @F.arrow_udf("string")
     def decoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(path, Decoder)
+        model = model_of(path, Decoder)
         for lists in parts:
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -385,7 +398,7 @@ def decode(df: DataFrame, path: str | None = None, column: str = "ids", to: str
                 counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[good], minlength=len(counts))
                 ids = ids[good]
             yield _strings(*model.decode(ids, np.r_[0, np.cumsum(counts)].astype(np.int64)))
-        _tidy()
+        tidy()
 
     return df.withColumn(to, decoded(F.col(column)))
 
@@ -398,15 +411,15 @@ def round_trip(df: DataFrame, path: str | None = None, column: str = "text") ->
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def there_and_back(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        to_ids, to_text = _model(path), _model(path, Decoder)
+        to_ids, to_text = model_of(path), model_of(path, Decoder)
         for texts in parts:
             ids, decoded = [NO_IDS], [pa.array([], pa.string())]
             for x in _slices(texts):
-                found, offsets = to_ids.encode(x.to_pylist())
+                found, offsets = to_ids.encode(x)
                 ids.append(_ids(found, offsets))
                 decoded.append(_strings(*to_text.decode(found, offsets)))
             yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(decoded)], names=["ids", "decoded"])
-        _tidy()
+        tidy()
 
     kept = [F.col(c) for c in df.columns if c not in ("ids", "decoded")]
     both = df.select(F.struct(*kept).alias("row"), there_and_back(F.col(column)).alias("both"))

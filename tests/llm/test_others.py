@@ -128,7 +128,7 @@ def test_bpe_is_the_library(spark, docs, corpus):
 
 
 def test_compatible_pairs_are_those_that_merging_keeps():
-    model = bpe._model(bpe.default_path())
+    model = bpe.model_of(bpe.default_path())
     rng = random.Random(6)
     inner = [t for t in range(model.n) if model.tokens[t].isascii() and model.tokens[t].isalpha() and len(model.tokens[t]) < 8]
     last = [t for t in range(model.n) if model.tokens[t].endswith(bpe.END) and model.tokens[t][:-4].isascii() and model.tokens[t][:-4].isalpha()]

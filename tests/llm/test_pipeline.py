@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -32,7 +33,7 @@ def test_stages(spark, tmp_path):
     texts = {r.doc_id: r.text for r in masked.collect()}
     model = bpe.WordBpe(bpe.default_path())
     for r in done.collect():
-        found, _ = model.encode([texts[r.doc_id]])
+        found, _ = model.encode(pa.array([texts[r.doc_id]]))
         assert r.ids == found.tolist() and r.n_tokens == len(found)
         assert hashlib.sha256(r.decoded.encode()).digest() == hashlib.sha256(" ".join(model.tokens[i] for i in found).encode()).digest()
 
