@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, fingerprint, jaccard_join, license_scan, packing, phrase_automata, pii, spelling, suffix_dedup, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, fingerprint, jaccard_join, license_scan, negatives, packing, phrase_automata, pii, spelling, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_dedup.query,
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scans": license_scan.query,
     "op11_spelling_variants": spelling.query,
     "op12_packing": packing.query,
+    "op13_hard_negatives": negatives.query,
 }
-SQL: dict[str, str] = {"op2_url_filters": url_filter.SQL, "op10_license_scans": license_scan.SQL}
+SQL: dict[str, str] = {"op2_url_filters": url_filter.SQL, "op10_license_scans": license_scan.SQL, "op13_hard_negatives": negatives.SQL}

@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
 
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
     df = QUERIES[name](spark, path)
     found = con.sql(SQL[name])
