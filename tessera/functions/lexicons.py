@@ -39,8 +39,6 @@ INJECTION_PATTERNS = [
     r"<\|im_start\|>|<\|im_end\|>",
 ]
 
-# Markers of causes.
-
 # Codes of reasoning errors and the phrases that show them.
 REASONING_ERRORS = {
     "mind_reading": ["mind reading", "you are thinking", "they are thinking", "he was trying to"],
@@ -103,3 +101,41 @@ CLAIM_CLASSES = {
     "value_statement": ["should", "need to", "must", "have to", "ought"],
     "prediction": ["will ", "next ", "tomorrow", "soon", "expect"],
 }
+
+# By field, the allowed values, other names of them, and the default.
+USUAL_VALUES = {
+    "claim_class": (
+        ["observation", "inference", "interpretation", "prediction", "motive_hypothesis", "value_statement", "identity_claim", "psychological_hypothesis", "self_report"],
+        {"preference": "value_statement", "opinion": "value_statement", "subjective_assessment": "interpretation", "subjective": "interpretation", "assessment": "interpretation", "belief": "interpretation", "decision": "value_statement", "intention": "value_statement", "motivation": "motive_hypothesis"},
+        "interpretation",
+    ),
+    "claim_owner": ([], {"user": "user", "me": "user", "myself": "user", "i": "user", "agent": "agent", "assistant": "agent", "writer": "agent", "skeptic": "agent", "interlocutor": "agent", "elicitor": "agent", "dreamer": "agent", "analyst": "agent"}, "external_actor"),
+    "claim_status": (
+        ["active", "disputed", "confirmed", "rejected", "stale", "superseded"],
+        {"unverified": "disputed", "tentative": "disputed", "provisional": "disputed", "pending": "disputed", "needs_revision": "disputed", "under_review": "disputed", "review_later": "disputed", "draft": "disputed", "candidate": "active"},
+        "active",
+    ),
+    "claim_privacy": (
+        ["personal", "personal_sensitive", "family", "legal", "work", "financial", "health", "children", "business", "sealed"],
+        {"public": "personal", "private": "personal", "sensitive": "personal_sensitive", "restricted": "personal_sensitive", "confidential": "personal_sensitive"},
+        "personal",
+    ),
+    "source_type": (
+        ["email", "text", "calendar", "ticket", "document", "financial_txn", "chat", "journal", "browser_event", "git_commit", "file", "manual_note", "checkin", "other", "markdown", "pdf", "image", "email_export", "sms_export"],
+        {"transcript": "markdown", "transcript_entry": "markdown", "transcript_excerpt": "text", "conversation": "chat", "chat_transcript": "chat", "note": "manual_note"},
+        "manual_note",
+    ),
+    "sensitivity": (["low", "medium", "high", "restricted", "sealed"], {"private": "restricted", "personal": "restricted", "personal_sensitive": "restricted", "sensitive": "restricted", "confidential": "restricted", "secret": "sealed"}, "low"),
+}
+# Days that a state of each category holds, other names of categories, and words that point to them.
+STATE_TTLS = {"physical": 14, "environmental": 30, "financial": 30, "relational": 14, "work": 14, "status": 60, "appearance": 30, "competence": 60, "social_presence": 30, "desirability": 30}
+STATE_CATEGORY_NAMES = {"pets": "environmental", "pet": "environmental", "home": "environmental", "household": "environmental", "family_school": "status", "school": "status", "education": "status", "productivity": "work", "routine": "work", "habit": "work"}
+STATE_CATEGORY_WORDS = [
+    ("environmental", ["cat", "dog", "pet", "animal"]),
+    ("status", ["school", "teacher", "class", "grade", "placement", "student"]),
+    ("work", ["morning", "routine", "workflow", "productivity", "capture"]),
+    ("relational", ["mom", "dad", "wife", "husband", "daughter", "son", "family"]),
+]
+
+# Words of claims that a professional should review.
+REVIEWED_BY_PROFESSIONALS = ["criminal", "custody", "elder abuse", "abuse", "medical", "diagnosis", "symptoms", "tax", "insurance fraud", "fraud", "legal obligation", "custody implication", "medication", "prescription"]

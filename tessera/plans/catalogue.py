@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audits, history, records, retrieval, rules, text
+from tessera.plans import audits, history, index, records, retrieval, rules, text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | text.QUERIES | audits.QUERIES | records.QUERIES | rules.QUERIES | history.QUERIES
-SQL: dict[str, str] = retrieval.SQL | text.SQL | audits.SQL | records.SQL | rules.SQL | history.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | text.QUERIES | audits.QUERIES | records.QUERIES | rules.QUERIES | history.QUERIES | index.QUERIES
+SQL: dict[str, str] = retrieval.SQL | text.SQL | audits.SQL | records.SQL | rules.SQL | history.SQL | index.SQL
