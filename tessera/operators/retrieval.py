@@ -110,18 +110,20 @@ def allowed_edges(edges: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(held), ["source_type", "relation"], "inner").where((F.col("t") == "*") | (F.col("t") == F.col("target_type"))).drop("t").distinct()
 
 
-def hop(frontier: DataFrame, edges: DataFrame, number: int) -> DataFrame:
-    """One step of expansion: frontier (id, score) over edges (source_id, target_id, relation). A target's score is
+def hop(frontier: DataFrame, edges: DataFrame, number: int, keys: list[str]) -> DataFrame:
+    """One step of expansion: frontier (keys, id, score) over edges (source_id, target_id, relation). A target's score is
     max(0.1, 0.85 * score + bonus - 0.08 * hop), its best where it is reached twice."""
     score = F.greatest(F.lit(0.1), 0.85 * F.col("score") + relation_bonus(F.col("relation")) - 0.08 * number)
     met = frontier.join(edges, frontier["id"] == edges["source_id"])
-    return met.groupBy(F.col("target_id").alias("id")).agg(F.max(score).alias("score")).withColumn("hop", F.lit(number).cast("long"))
-
-
-def expand(seeds: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
-    """Items within two hops of the seeds that are not seeds; the first `limit` by (hop, score desc, id). On the
-    second hop sources count with a score of 0."""
-    own = seeds.select("id")
-    first = hop(seeds, edges, 1).join(own, "id", "left_anti")
-    second = hop(first.select("id", F.lit(0.0).alias("score")), edges, 2).join(own, "id", "left_anti").join(first.select("id"), "id", "left_anti")
-    return ranked(first.unionByName(second), [F.asc("hop"), F.desc("score"), F.asc("id")], [], limit)
+    return met.groupBy(*keys, F.col("target_id").alias("id")).agg(F.max(score).alias("score")).withColumn("hop", F.lit(number).cast("long"))
+
+
+def expand(seeds: DataFrame, edges: DataFrame, limit: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Items within two hops of the seeds (keys, id, score) that are not seeds; the first `limit` of each search (its
+    keys; without keys all seeds are one search) by (hop, score desc, id). On the second hop sources count with a score
+    of 0."""
+    keys = keys or []
+    own = seeds.select(*keys, "id")
+    first = hop(seeds.select(*keys, "id", "score"), edges, 1, keys).join(own, [*keys, "id"], "left_anti")
+    second = hop(first.select(*keys, "id", F.lit(0.0).alias("score")), edges, 2, keys).join(own, [*keys, "id"], "left_anti").join(first.select(*keys, "id"), [*keys, "id"], "left_anti")
+    return ranked(first.unionByName(second), [F.asc("hop"), F.desc("score"), F.asc("id")], keys, limit)

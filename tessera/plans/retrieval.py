@@ -128,22 +128,22 @@ SELECT *, row_number() OVER (ORDER BY npmi DESC, p_partkey) AS rank FROM f QUALI
 
 
 def two_hop_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a few customers over their orders to parts, within two hops."""
+    """From every fiftieth customer, each a search of its own, over their orders to parts, within two hops."""
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 500 = 7").select(key("c", "c_custkey").alias("id"), F.lit(0.8).alias("score"))
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("search"), key("c", "c_custkey").alias("id"), F.lit(0.8).alias("score"))
     to_order = table(spark, sf_dir, "orders").select(key("c", "o_custkey").alias("source_id"), key("o", "o_orderkey").alias("target_id"), F.when(F.col("o_orderstatus") == "F", "linked_claims").otherwise("links").alias("relation"))
     to_part = table(spark, sf_dir, "lineitem").select(key("o", "l_orderkey").alias("source_id"), key("p", "l_partkey").alias("target_id"), F.when(F.col("l_returnflag") == "R", "supporting_evidence").otherwise("other").alias("relation"))
-    found = R.expand(seeds, to_order.unionByName(to_part), 40)
-    return found.select("id", F.round("score", 4).alias("score"), "hop", F.col("rank").cast("long").alias("rank"))
+    found = R.expand(seeds, to_order.unionByName(to_part), 40, ["search"])
+    return found.select("search", "id", F.round("score", 4).alias("score"), "hop", F.col("rank").cast("long").alias("rank"))
 
 
 EXPAND_SQL = """
-WITH seeds AS (SELECT 'c' || c_custkey AS id, 0.8::DOUBLE AS score FROM customer WHERE c_custkey % 500 = 7),
+WITH seeds AS (SELECT c_custkey AS search, 'c' || c_custkey AS id, 0.8::DOUBLE AS score FROM customer WHERE c_custkey % 50 = 0),
 e AS (SELECT 'c' || o_custkey AS s, 'o' || o_orderkey AS t, CASE WHEN o_orderstatus = 'F' THEN 0.45::DOUBLE ELSE 0.2 END AS bonus FROM orders
       UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey, CASE WHEN l_returnflag = 'R' THEN 0.5::DOUBLE ELSE 0.15 END FROM lineitem),
-h1 AS (SELECT t AS id, max(greatest(0.1, 0.85 * score + bonus - 0.08)) AS score, 1::BIGINT AS hop FROM seeds JOIN e ON s = id WHERE t NOT IN (SELECT id FROM seeds) GROUP BY t),
-h2 AS (SELECT t AS id, max(greatest(0.1, bonus - 0.16)) AS score, 2::BIGINT AS hop FROM h1 JOIN e ON s = id WHERE t NOT IN (SELECT id FROM seeds) AND t NOT IN (SELECT id FROM h1) GROUP BY t)
-SELECT id, round(score, 4) AS score, hop, row_number() OVER (ORDER BY hop, score DESC, id) AS rank FROM (FROM h1 UNION ALL FROM h2) QUALIFY rank <= 40"""
+h1 AS (SELECT search, t AS id, max(greatest(0.1, 0.85 * score + bonus - 0.08)) AS score, 1::BIGINT AS hop FROM seeds JOIN e ON s = id GROUP BY 1, 2),
+h2 AS (SELECT h1.search, t AS id, max(greatest(0.1, bonus - 0.16)) AS score, 2::BIGINT AS hop FROM h1 JOIN e ON s = id GROUP BY 1, 2)
+SELECT search, id, round(score, 4) AS score, hop, row_number() OVER (PARTITION BY search ORDER BY hop, score DESC, id) AS rank FROM (FROM h1 UNION ALL FROM h2) QUALIFY rank <= 40"""
 
 
 def edge_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:

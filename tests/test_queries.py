@@ -38,7 +38,19 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_other_query_has_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"anisotropy_corrected_topk"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"anisotropy_corrected_topk", "budgeted_expansion", "ivf_topk"}
+
+
+def test_the_index_finds_what_the_exact_search_does(spark):
+    pairs = lambda name: {(r.query_id, r.vec_id) for r in catalogue.QUERIES[name](spark, DATA).collect()}
+    true = pairs("cosine_topk")
+    assert len(true & pairs("ivf_topk")) >= 0.9 * len(true)
+
+
+def test_budgets_hold(spark):
+    rows = catalogue.QUERIES["budgeted_expansion"](spark, DATA).collect()
+    kept = [r.search for r in rows if r.kept]
+    assert len(kept) > 20 and max(map(kept.count, set(kept))) <= 5 and {r.reason for r in rows} > {"quarantined", "cross_domain_bridging_not_justified"}
 
 
 def test_anisotropy_by_numpy(spark):
