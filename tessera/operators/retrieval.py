@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
+from tessera.session import written
 
 K1, B = 1.2, 0.75
 RRF_K, LANE_LIMIT, FUSED_LIMIT = 60, 30, 20
@@ -31,18 +32,20 @@ def bm25(docs: DataFrame, doc: str, terms: Column, queries: DataFrame, query: st
     """(query, doc, score) of all documents that share a term with a query.
 
     idf is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive; a term that a query repeats counts
-    as often. Only the postings of query terms leave the first stage. docs must have each doc once."""
-    docs = docs.select(doc, F.explode(F.array(terms)).alias("_terms"))  # the terms are worked out once a row
-    stats = docs.select(F.size("_terms").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    as often. Only the postings of query terms leave the first stage, which is stored. docs must have each doc once."""
     wanted = queries.select(query, F.explode(query_terms).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = [r["term"] for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
-    if len(few) <= FEW_TERMS:  # rows drop their other terms before they are taken apart
-        hits = F.array_intersect("_terms", F.array(*map(F.lit, few)).cast("array<string>"))
-        held = docs.select(doc, F.size("_terms").alias("dl"), "_terms", F.explode(hits).alias("term"))
-        held = held.select(doc, "dl", "term", F.size(F.filter("_terms", lambda x: x == F.col("term"))).cast("long").alias("tf"))
+    docs = docs.select(doc, F.explode(F.array(terms)).alias("_terms"))  # the terms are worked out once a row
+    every = docs.select(doc, F.size("_terms").alias("dl"), F.explode(F.concat("_terms", F.array(F.lit("")))).alias("term"))
+    asked = wanted.select("term").distinct()
+    if len(few) <= FEW_TERMS:  # other terms go before anything is moved
+        asked = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in {*few, ""}], "term string"))
     else:
-        held = docs.select(doc, F.size("_terms").alias("dl"), F.explode("_terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-        held = held.groupBy("term", doc).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+        asked = asked.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    # One pass over the texts. The empty term stands for the document itself, so that its length counts without a hit.
+    hits = written(every.join(asked, "term", "left_semi").groupBy("term", doc).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    stats = hits.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    held = hits.where("term <> ''")
     n = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighted = n.crossJoin(F.broadcast(stats)).select("term", "avg_dl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))

@@ -9,19 +9,25 @@ from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators.vectors import calibrate, corrected, nearest
+from tessera.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth benchmark item, as a search."""
     return table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", T.query_terms(F.col("text")).alias("q"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    docs = texts(spark, sf_dir).select("doc_id", T.query_terms(F.coalesce("text", F.lit(""))).alias("terms"))
     scored = R.bm25(docs, "doc_id", F.col("terms"), _queries(spark, sf_dir), "item_id", F.col("q"))
     return scored.withColumn("score", F.round("score", 6))
 
@@ -171,7 +177,7 @@ SELECT source_type, target_type, relation, count(*) AS n, CASE relation {_BONUS}
 
 def domain_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain with the most keyword hits in each text, the first listed of equals."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    docs = texts(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
     hits = docs.select("doc_id", *(T.count_present(F.col("low"), terms).alias(d) for d, terms in L.DOMAIN_KEYWORDS.items()))
     best = F.greatest(*L.DOMAIN_KEYWORDS)
     name = F.coalesce(*(F.when((F.col(d) == best) & (best > 0), d) for d in L.DOMAIN_KEYWORDS), F.lit("cross_arena"))
@@ -188,7 +194,7 @@ SELECT doc_id, CASE WHEN best = 0 THEN 'cross_arena' {" ".join(f"WHEN {d} = best
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors of 32 digest bytes; what is shown: their largest entry, where it is, and the sum."""
-    hexed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    hexed = texts(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     raw = hexed.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr("h", i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = raw.withColumn("n", norm).select("doc_id", F.transform("v", lambda x: F.round(x / F.col("n"), 6)).alias("v"))

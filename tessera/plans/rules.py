@@ -12,7 +12,7 @@ from tessera.operators import entities as E
 from tessera.operators import retrieval as R
 from tessera.operators import rules as U
 from tessera.operators.vectors import nearest
-from tessera.plans.retrieval import table
+from tessera.plans.retrieval import table, texts
 
 TYPES = ["evidence", "claim", "pattern", "artifact", "episode", "entity", "decision", "open_loop"]
 DOMAINS = ["work", "health", "money", "relationships", "cross_arena"]
@@ -253,7 +253,7 @@ SELECT DISTINCT a.id AS source_id, 'near' AS relation, b.id AS target_id FROM st
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the first two words of each benchmark item stand in each text."""
     names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.regexp_extract("text", r"^\S+\s+\S+", 0).alias("name"))
-    found = E.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id")
+    found = E.mentions(texts(spark, sf_dir).select("doc_id", "text"), names, "doc_id")
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
 
 
@@ -316,7 +316,7 @@ ARCHIVED_SQL = "WITH j AS (SELECT (['failed', 'canceled', 'queued', 'running'])[
 def code_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by whether over four fifths of their lines stand in code blocks; some lines are made fences."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(F.length(x) % 9 == 4, F.concat(F.lit(" ```"), x)).otherwise(x))
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(lines)).alias("lines"))
+    held = texts(spark, sf_dir).select("doc_id", F.explode(F.array(lines)).alias("lines"))
     counted = held.select("doc_id", F.size("lines").alias("n"), U.fence_lines(F.col("lines")).alias("code"))
     return counted.select("doc_id", F.col("code").cast("long").alias("code"), (F.col("code") / F.col("n") > 0.8).alias("mostly_code"))
 
@@ -328,7 +328,7 @@ SELECT doc_id, sum(inside)::BIGINT AS code, sum(inside) / count(*) > 0.8 AS most
 
 def section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as sections: short ones join the next that has 20 words; sections and words of each group."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("doc_id", "i", F.size(F.filter(F.split("line", " "), lambda w: w != "")).alias("words"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("doc_id", "i", F.size(F.filter(F.split("line", " "), lambda w: w != "")).alias("words"))
     return U.merged_sections(lines, ["doc_id"], "i", "words", 20).groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("sections"), F.sum("words").alias("words"))
 
 
@@ -339,7 +339,7 @@ g AS (SELECT doc_id, words, coalesce(sum((words >= 20)::INT) OVER (PARTITION BY
 def text_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary line of each text, its sentences, and a short digest."""
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(U.first_short_line(text), F.lit("")).alias("summary"), U.sentence_count(text).alias("sentences"), F.substring(F.md5(text), 1, 12).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.coalesce(U.first_short_line(text), F.lit("")).alias("summary"), U.sentence_count(text).alias("sentences"), F.substring(F.md5(text), 1, 12).alias("digest"))
 
 
 OUTLINE_SQL = r"""WITH l AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)

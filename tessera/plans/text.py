@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import audits as A
-from tessera.plans.retrieval import table
+from tessera.plans.retrieval import table, texts
 
 _q = lambda s: s.replace("'", "''")
 _any = lambda terms, col="low": "(" + " OR ".join(f"contains({col}, '{_q(t)}')" for t in terms) + ")"
@@ -17,7 +17,7 @@ _LOW = "d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)"
 
 
 def _low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return texts(spark, sf_dir).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
 
 
 def salience_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ SELECT *, CASE WHEN sensitivity = 'sealed' THEN 'sealed' WHEN sensitivity IN ('h
 
 def fact_claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each text state facts and make claims; a line with a colon and under 220 characters counts."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc_id", T.clean_line(F.col("line")).alias("line")).where("line <> ''")
+    lines = texts(spark, sf_dir).select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc_id", T.clean_line(F.col("line")).alias("line")).where("line <> ''")
     low = lines.withColumn("low", F.concat(F.lit(" "), F.lower("line"), F.lit(" ")))
     fact = T.contains_any(F.col("low"), L.FACT_MARKERS) | (F.contains(F.col("line"), F.lit(":")) & (F.length("line") < 220))
     return low.groupBy("doc_id").agg(F.count_if(fact).alias("facts"), F.count_if(T.contains_any(F.col("low"), L.CLAIM_MARKERS)).alias("claims"), F.count(F.lit(1)).alias("lines"))
@@ -93,7 +93,7 @@ REASONING_SQL = f"WITH e AS (SELECT doc_id, lower(coalesce(text, '')) || ' ' ||
 
 def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 800 words, 100 of them shared with the one before; their number, words and digest."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != ""))).alias("w")).where(F.size("w") > 0)
+    words = texts(spark, sf_dir).select("doc_id", F.explode(F.array(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != ""))).alias("w")).where(F.size("w") > 0)
     starts = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - 101), F.lit(700))).alias("at"))
     chunk = F.slice("w", F.col("at") + 1, F.lit(800))
     return starts.select("doc_id", F.floor(F.col("at") / 700).alias("chunk"), F.size(chunk).cast("long").alias("n_words"), F.sha2(F.array_join(chunk, " "), 256).alias("digest"))
@@ -106,7 +106,7 @@ SELECT doc_id, (s // 700)::BIGINT AS chunk, len(w[s + 1:s + 800])::BIGINT AS n_w
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words (between white space of any kind) and estimated tokens of each source."""
-    docs = table(spark, sf_dir, "documents").select("source", T.word_count(F.coalesce("text", F.lit(""))).alias("n"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("t"))
+    docs = texts(spark, sf_dir).select("source", T.word_count(F.coalesce("text", F.lit(""))).alias("n"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("t"))
     return docs.groupBy("source").agg(F.sum("n").alias("n_words"), F.sum("t").alias("n_tokens"))
 
 
@@ -127,7 +127,7 @@ SELECT role, v[least(len(v) - 1, floor(0.25 * len(v))::INT) + 1] AS p25, v[least
 
 def dup_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hashes that more than one document has."""
-    return A.grouped_duplicates(table(spark, sf_dir, "documents"), F.sha2(F.coalesce("text", F.lit("")), 256), "doc_id")
+    return A.grouped_duplicates(texts(spark, sf_dir), F.sha2(F.coalesce("text", F.lit("")), 256), "doc_id")
 
 
 DUP_SQL = "SELECT sha256(coalesce(text, '')) AS key, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1"
@@ -157,7 +157,7 @@ SELECT CASE WHEN x IN ('md', 'markdown') THEN 'markdown' WHEN x IN ('txt', 'text
 
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred most frequent names of one to four capitalised words."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})"), F.lit(1))).alias("name"))
+    found = texts(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})"), F.lit(1))).alias("name"))
     counted = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
     return counted.orderBy(F.desc("n"), F.asc("name")).limit(100)
 

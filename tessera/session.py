@@ -30,6 +30,9 @@ def local_session(cores: int | str = 8, app: str = "tessera", **conf: str) -> Sp
     return spark
 
 
+GIVEN_OUT: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder that all executors share, below spark.checkpoint.dir. Where that is unset, a temporary folder of a
     single machine; a cluster must name its own."""
@@ -39,7 +42,8 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    GIVEN_OUT.append(f"{found.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    return GIVEN_OUT[-1]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -47,3 +51,24 @@ def written(df: DataFrame) -> DataFrame:
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of more bytes have pieces enough for all cores.
+FEW_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may be one piece of one file, dealt out to all cores; a large one as it is. For work on texts
+    that costs more than moving them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= FEW_BYTES else df
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the folders that work_dir() gave out in this process; returns how many. For the end of a job, when nothing
+    reads them any more."""
+    n = 0
+    while GIVEN_OUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(GIVEN_OUT.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
