@@ -139,3 +139,13 @@ STATE_CATEGORY_WORDS = [
 
 # Words of claims that a professional should review.
 REVIEWED_BY_PROFESSIONALS = ["criminal", "custody", "elder abuse", "abuse", "medical", "diagnosis", "symptoms", "tax", "insurance fraud", "fraud", "legal obligation", "custody implication", "medication", "prescription"]
+
+# Compartments that a search opens, and the words that open them.
+COMPARTMENTS = {
+    "legal": ["legal", "lawsuit", "contract", "attorney", "court"],
+    "health": ["health", "medical", "doctor", "diagnosis", "therapy"],
+    "children": ["child", "children", "kid", "custody", "school"],
+}
+# What a type adds to the former score, and words that ask for patterns.
+FORMER_BOOST = {"artifact": 1.8, "evidence": 1.5, "pattern": 1.4, "claim": 1.2, "skeptical_review": 1.1, "report": 1.0, "episode": 0.9}
+PATTERN_WORDS = ["pattern", "hypothesis", "loop", "trigger", "gap"]

@@ -73,11 +73,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def npmi_edges(events: DataFrame, event: str, item: str, least: int = 3, floor: float = 0.3, partners: int = 8) -> DataFrame:
+def npmi_edges(events: DataFrame, event: str, item: str, least: int = 3, floor: float = 0.3, partners: int = 8, last: int | None = None, authored: DataFrame | None = None) -> DataFrame:
     """Learned edges between items that events select together: (source, target, co_count, npmi), both ways.
 
     An event counts if it has two items at least. Pairs need `least` common events and an npmi of `floor`; a pair
-    in every event has none. Each item keeps its best partners by (npmi desc, target)."""
+    in every event has none. Each item keeps its best partners by (npmi desc, target). Only the `last` events by id
+    count, if that is given; pairs that are authored (source, target, either way) learn nothing."""
+    if last is not None:  # the bound comes first: events of one item use it up too
+        events = events.join(events.select(event).distinct().orderBy(F.desc(event)).limit(last), event, "left_semi")
     sets = events.select(event, item).where(F.col(item).isNotNull()).distinct()
     big = sets.groupBy(event).count().where("count >= 2").select(event)
     sets = sets.join(big, event)
@@ -87,6 +90,9 @@ def npmi_edges(events: DataFrame, event: str, item: str, least: int = 3, floor:
     often = sets.join(single.where(F.col("c") >= least).select(item), item, "left_semi")
     pairs = often.alias("a").join(often.alias("b"), event).where(F.col(f"a.{item}") < F.col(f"b.{item}"))
     pairs = pairs.groupBy(F.col(f"a.{item}").alias("source"), F.col(f"b.{item}").alias("target")).agg(F.count(F.lit(1)).alias("co_count")).where(F.col("co_count") >= least)
+    if authored is not None:
+        known = authored.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+        pairs = pairs.join(known, ["source", "target"], "left_anti")
     met = pairs.join(single.select(F.col(item).alias("source"), F.col("c").alias("ca")), "source").join(single.select(F.col(item).alias("target"), F.col("c").alias("cb")), "target").crossJoin(F.broadcast(total))
     p = F.col("co_count") / F.col("n")
     met = met.where(F.col("co_count") < F.col("n")).withColumn("npmi", F.round(F.log(p / (F.col("ca") / F.col("n") * F.col("cb") / F.col("n"))) / -F.log(p), 4)).where(F.col("npmi") >= floor)

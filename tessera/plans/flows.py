@@ -8,10 +8,16 @@ from math import isqrt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicons as L
+from tessera.functions import text as T
 from tessera.operators import expansion as X
 from tessera.operators import ivf as V
+from tessera.operators import retrieval as R
+from tessera.operators import rules as U
+from tessera.operators import search as S
 from tessera.operators import states as Z
 from tessera.plans.retrieval import table
+from tessera.plans.rules import _REC, _batches, _case, _records, _searches
 from tessera.streaming import queue as Q
 
 
@@ -84,3 +90,80 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"queue_replay": queue_replay, "state_folds": state_folds, "budgeted_expansion": budgeted_expansion, "ivf_topk": ivf_topk}
 SQL = {"queue_replay": QUEUE_SQL, "state_folds": STATES_SQL}
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records with fields of their types, whole."""
+    own = _records(spark, sf_dir)
+    word = lambda k: F.get(F.split("summary", " "), F.lit(k))
+    return S.whole_records(own.select("no", "id", "type", "domain", "status", "significance", "age", "summary", F.col("confidence").alias("confidence_score"), F.array(F.upper(word(0))).alias("actors"), word(2).alias("source_type"), word(0).alias("claim_class"), word(1).alias("pattern_type"), F.when(F.col("no") % 5 == 0, word(1)).alias("file_name"), F.concat(F.lit("X/"), F.initcap(word(0)), F.lit(".md")).alias("source_path")))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches: the first and last words of every fiftieth record, in its domain; equal ones are one."""
+    return _searches(spark, sf_dir).select("search", "asked", F.array_distinct(F.array(F.get("terms", F.lit(0)), F.element_at("terms", -1))).alias("terms"))
+
+
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lane of fields in full, 30 records a search."""
+    return S.metadata_lane(_fields(spark, sf_dir), _asked(spark, sf_dir)).select("search", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def search_former(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The former score and its reasons, 15 records a search, with the keyword lane of every search."""
+    asked, own = _asked(spark, sf_dir), _fields(spark, sf_dir)
+    hits = S.matched_terms(own, asked).where("size(matched) = 2").select("search", "id")
+    near = hits.where("id LIKE '%7'").select("search", "id", F.lit(0.5).alias("score"))
+    found = S.former_scores(own, asked, hits, near)
+    return found.select("search", "id", "score", F.array_join("reasons", ",").alias("reasons"), F.col("rank").cast("long").alias("rank"))
+
+
+_SEARCHED = f"""{_REC}, q0 AS (SELECT min(no) AS search, domain AS asked, summary FROM rec WHERE no % 50 = 0 GROUP BY domain, summary),
+q1 AS (SELECT search, asked, list_filter(regexp_extract_all(lower(summary), '[A-Za-z0-9][A-Za-z0-9_-]+'), lambda x: length(x) > 2) AS t FROM q0), q AS (SELECT search, asked, list_distinct([t[1], t[-1]]) AS terms FROM q1),
+f AS (SELECT *, string_split(summary, ' ') AS w FROM rec), g AS (SELECT *, w[1] AS claim_class, w[2] AS pattern_type, w[3] AS source_type, CASE WHEN no % 5 = 0 THEN w[2] END AS file_name, 'x/' || w[1] || '.md' AS source_path, concat_ws(chr(10), summary, id, w[3], 'x/' || w[1] || '.md', CASE WHEN no % 5 = 0 THEN w[2] END, w[2], w[1], status) AS hay FROM f),
+m AS (SELECT g.*, search, asked, terms, list_filter(terms, lambda t: contains(lower(hay), t)) AS hit FROM g, q),
+p AS (SELECT *, {_case("status", U.STATUS_POINTS, 0)} + CASE WHEN significance = 'high' THEN 0.7::DOUBLE ELSE 0 END + confidence * 0.3::DOUBLE AS standing, {_case("type", L.TYPE_BOOST, 0)} AS boost, domain = asked OR domain = 'cross_arena' AS own, len(hit) > 0 AS tm, type = 'evidence' AND list_contains(hit, claim_class) AS am, type = 'evidence' AND list_contains(hit, source_type) AS st, type = 'claim' AND list_contains(hit, claim_class) AS cc, type = 'claim' AND list_contains(hit, status) AS cs, type = 'pattern' AND list_contains(hit, pattern_type) AS pt,
+ type = 'artifact' AND file_name IS NOT NULL AND list_contains(hit, file_name) AS fn, type = 'artifact' AND len(list_filter(hit, lambda t: contains(source_path, t))) > 0 AS sp, len(hit) = 2 AS fts FROM m)"""
+_points = lambda **points: " + ".join(f"{v}::DOUBLE * {k}::INT" for k, v in points.items())
+FIELDS_SQL = f"""WITH {_SEARCHED} SELECT search, id, score, row_number() OVER (PARTITION BY search ORDER BY score DESC, id DESC) AS rank FROM (SELECT search, id, round(boost + standing + CASE WHEN age >= 0 THEN greatest(0.0::DOUBLE, 1 - age / 365) ELSE 0 END + {_points(own=2.0, tm=1.2, am=1.0, st=0.7, cc=0.8, cs=0.6, pt=0.8, fn=0.8, sp=0.8)}, 6) AS score FROM p) QUALIFY rank <= 30"""
+FORMER_SQL = f"""WITH {_SEARCHED}, s AS (SELECT *, round(boost + {_case("type", L.FORMER_BOOST, 0)} + standing + {_points(own=2.0, tm=2.5, am=1.5, st=1.0, cc=1.0, cs=0.8, pt=1.1, fn=1.5, sp=1.5, fts=2.0)} + CASE WHEN fts AND ends_with(id, '7') THEN 1.0::DOUBLE ELSE 0 END, 6) AS score,
+ array_to_string(list_filter([CASE WHEN own THEN 'domain_match' END, CASE WHEN tm THEN 'text_match' END, CASE WHEN am THEN 'actor_match' END, CASE WHEN st THEN 'source_type' END, CASE WHEN cc THEN 'claim_class' END, CASE WHEN cs THEN 'claim_status' END, CASE WHEN pt THEN 'pattern_type' END, CASE WHEN fn THEN 'file_name' END, CASE WHEN sp THEN 'source_path' END, CASE WHEN fts THEN 'fts' END, CASE WHEN fts AND ends_with(id, '7') THEN 'vector' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p)
+SELECT search, id, score, reasons, row_number() OVER (PARTITION BY search ORDER BY boost DESC, score DESC, summary DESC, id DESC) AS rank FROM s WHERE reasons <> '' QUALIFY rank <= 15"""
+
+
+def full_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lanes of every search fused: fields, words, vectors, the reply before, learned partners; quarantined records
+    are hidden, and what a kept record links to goes. No SQL: neighbours go one after another; tests hold the parts."""
+    own = _records(spark, sf_dir)
+    searches = _searches(spark, sf_dir).select("search", "asked", "terms", F.when(F.col("search") % 2 == 0, F.reverse("terms")).alias("reply_terms"))
+    whole = _fields(spark, sf_dir).join(own.select("id", T.query_terms(F.col("summary")).alias("terms")), "id")
+    raw = table(spark, sf_dir, "embeddings")
+    size = raw.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = V.usable(raw.join(own.select(F.col("no").alias("vec_id")), "vec_id", "left_semi"), size)
+    near = V.nearest(rows, rows.join(searches.select(F.col("search").alias("vec_id")), "vec_id", "left_semi"), R.LANE_LIMIT).where("score > 0")
+    vectors = near.select(F.col("query_id").alias("search"), F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("id"), F.lit("vector").alias("lane"), "rank")
+    name = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    edges = R.npmi_edges(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", authored=own.select(F.col("no").alias("source"), F.expr("no + 1").alias("target"))).select(name("source").alias("source"), name("target").alias("target"), "npmi")
+    links = own.select(F.col("id").alias("source"), F.col("artifact_ref").alias("target"))
+    hidden = U.visibility(own, _batches(spark, sf_dir)).where("blocked IS NOT NULL").select("id")
+    found = S.retrieve(searches, whole, vectors, edges, links, hidden)
+    return found.select("search", "id", "rrf", "n_lanes", "lanes", F.col("rank").cast("long").alias("rank"))
+
+
+def unauthored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned edges between parts of the last 2,000 orders; neighbours by key are linked by hand and learn nothing."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), F.expr("p_partkey + 1").alias("target"))
+    item = lines.select("l_orderkey", (F.col("l_partkey") % 60).alias("l_partkey"))
+    return R.npmi_edges(item, "l_orderkey", "l_partkey", floor=0.02, last=2000, authored=parts)
+
+
+UNAUTHORED_SQL = """WITH o AS (SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1 DESC LIMIT 2000), s AS (SELECT DISTINCT l_orderkey AS e, l_partkey % 60 AS i FROM lineitem JOIN o USING (l_orderkey)),
+b AS (SELECT e FROM s GROUP BY 1 HAVING count(*) >= 2), t AS (SELECT s.* FROM s JOIN b USING (e)), n AS (SELECT count(*) AS n FROM b), c AS (SELECT i, count(*) AS c FROM t GROUP BY 1),
+p AS (SELECT x.i AS a, y.i AS z, count(*) AS co FROM t x JOIN t y ON x.e = y.e AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3),
+w AS (SELECT a, z, co, round(ln((co / n.n) / ((ca.c / n.n) * (cz.c / n.n))) / -ln(co / n.n), 4) AS npmi FROM p JOIN c ca ON ca.i = a JOIN c cz ON cz.i = z, n WHERE co < n.n AND NOT (z = a + 1 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = a))),
+d AS (SELECT a AS source, z AS target, co AS co_count, npmi FROM w WHERE npmi >= 0.02 UNION ALL SELECT z, a, co, npmi FROM w WHERE npmi >= 0.02)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY npmi DESC, target) <= 8"""
+
+QUERIES |= {"search_fields": search_fields, "search_former": search_former, "full_retrieval": full_retrieval, "unauthored_edges": unauthored_edges}
+SQL |= {"search_fields": FIELDS_SQL, "search_former": FORMER_SQL, "unauthored_edges": UNAUTHORED_SQL}

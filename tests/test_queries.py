@@ -38,7 +38,7 @@ def test_against_sql(spark, duck, name):
 
 
 def test_every_other_query_has_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"anisotropy_corrected_topk", "budgeted_expansion", "ivf_topk"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"anisotropy_corrected_topk", "budgeted_expansion", "full_retrieval", "ivf_topk"}
 
 
 def test_the_index_finds_what_the_exact_search_does(spark):
@@ -69,3 +69,10 @@ def test_anisotropy_by_numpy(spark):
     order = [i for i in np.lexsort((np.arange(len(m)), -scores)) if i][:10]
     assert [r.vec_id for r in found] == order and np.allclose([r.score for r in found], scores[order], atol=2e-6)
     assert calibrate(spark.read.parquet(f"{DATA}/embeddings.parquet").limit(10)) is None
+
+
+def test_all_lanes_are_fused(spark):
+    rows = catalogue.QUERIES["full_retrieval"](spark, DATA).collect()
+    seen = {lane for r in rows for lane in r.lanes.split("+")}
+    assert {"sql", "fts", "fts_reply", "vector"} <= seen and all(r.rank <= 20 for r in rows)
+    assert len({(r.search, r.id) for r in rows}) == len(rows)
