@@ -149,3 +149,17 @@ COMPARTMENTS = {
 # What a type adds to the former score, and words that ask for patterns.
 FORMER_BOOST = {"artifact": 1.8, "evidence": 1.5, "pattern": 1.4, "claim": 1.2, "skeptical_review": 1.1, "report": 1.0, "episode": 0.9}
 PATTERN_WORDS = ["pattern", "hypothesis", "loop", "trigger", "gap"]
+
+# Words that do not name the subject of a decision.
+DECISION_STOPWORDS = ["a", "an", "and", "are", "be", "been", "being", "but", "by", "for", "from", "have", "has", "had", "i", "if", "in", "into", "is", "it", "its", "my", "of", "on", "or", "our", "so", "the", "their", "this", "that", "to", "was", "we", "will", "with", "you", "your", "changed", "change", "mind", "again", "instead", "back", "still", "now", "want", "wants", "wanting", "keep", "kept", "use", "used", "using", "directly"]
+# Words that do not count in a hypothesis, marks of one that is too broad, and diagnostic words.
+HYPOTHESIS_STOPWORDS = ["the", "a", "an", "and", "or", "of", "to", "for", "with", "in", "on", "at", "by", "is", "it", "as", "be", "are", "was", "were", "that", "this", "from", "into", "when", "if", "while", "may", "might", "about", "than", "their", "my", "your", "our", "his", "her", "its", "them", "they", "i", "we", "you"]
+BROAD_MARKERS = ["always", "never", "everyone", "no one", "everything", "all the time", "nothing but", "only reason", "the only reason", "all of"]
+DIAGNOSTIC_TERMS = ["narcissistic", "borderline", "autistic", "bipolar", "trauma disorder", "personality disorder", "pathological", "delusional", "paranoid"]
+# Statuses of patterns, former names of them, and words by which claims and evidence are reviewed.
+PATTERN_STATUSES = ["candidate", "active_hypothesis", "skeptic_reviewed", "supported", "integrated", "disputed", "stale", "rejected", "retired"]
+FORMER_PATTERN_STATUSES = {"active": "active_hypothesis", "confirmed": "supported", "superseded": "retired"}
+HOSTILE_WORDS = ["scapegoat", "hostile", "sabotage", "malicious", "targeted", "punish"]
+STATED_WORDS = ["asked", "said", "requested", "noted", "scheduled", "confirmed"]
+DENIED_WORDS = ["did not", "never", "no evidence", "contradict", "disagree"]
+AVOIDING_WORDS = ["avoid", "avoidance", "delay", "procrast", "defer"]

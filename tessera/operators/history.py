@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that say nothing of a decision's subject; what each kind of task needs; verdicts, the most
+from tessera.functions import lexicons as L
+
+# What each kind of task needs; verdicts, the most
 # restrictive last.
-STOPWORDS = "a an and are be been being but by for from have has had i if in into is it its my of on or our so the their this that to was we will with you your changed change mind again instead back still now want wants wanting keep kept use used using directly".split()
 CAPABILITIES = {
     "run_script": ["run_local_scripts", "read_files", "write_files"],
     "research": ["web_research", "write_files"],
@@ -54,7 +55,7 @@ def subject_tokens(text: Column) -> Column:
     """Distinct lightly stemmed words of three letters or more that may name a decision's subject."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9_-]+"), F.lit(0))
     stems = F.transform(words, lambda w: F.coalesce(*(F.when(F.endswith(w, F.lit(s)) & (F.length(w) > len(s) + 2), F.substr(w, F.lit(1), F.length(w) - len(s))) for s in ("ing", "ed", "es", "s")), w))
-    return F.array_sort(F.array_distinct(F.filter(stems, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS))))
+    return F.array_sort(F.array_distinct(F.filter(stems, lambda w: (F.length(w) > 2) & ~w.isin(L.DECISION_STOPWORDS))))
 
 
 def related_decisions(asked: DataFrame, decisions: DataFrame, least: int = 2, most: int = 3) -> DataFrame:

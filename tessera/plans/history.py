@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicons as L
 from tessera.operators import history as H
 from tessera.operators.retrieval import ranked
 from tessera.plans.retrieval import table
@@ -51,7 +52,7 @@ def related_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RELATED_SQL = f"""WITH w AS (SELECT p_partkey AS id, regexp_extract_all(lower('we decided on ' || p_name || 's ' || p_type), '[a-z0-9][a-z0-9_-]+') AS w FROM part),
-s AS (SELECT id, list_distinct(list_filter(list_transform(w, lambda x: CASE WHEN ends_with(x, 'ing') AND length(x) > 5 THEN x[:-4] WHEN ends_with(x, 'ed') AND length(x) > 4 THEN x[:-3] WHEN ends_with(x, 'es') AND length(x) > 4 THEN x[:-3] WHEN ends_with(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END), lambda x: length(x) > 2 AND NOT list_contains({_sql(H.STOPWORDS)}, x))) AS t FROM w),
+s AS (SELECT id, list_distinct(list_filter(list_transform(w, lambda x: CASE WHEN ends_with(x, 'ing') AND length(x) > 5 THEN x[:-4] WHEN ends_with(x, 'ed') AND length(x) > 4 THEN x[:-3] WHEN ends_with(x, 'es') AND length(x) > 4 THEN x[:-3] WHEN ends_with(x, 's') AND length(x) > 3 THEN x[:-2] ELSE x END), lambda x: length(x) > 2 AND NOT list_contains({_sql(L.DECISION_STOPWORDS)}, x))) AS t FROM w),
 p AS (SELECT a.id AS asked, b.id, len(list_intersect(a.t, b.t))::BIGINT AS shared FROM s a, s b WHERE a.id % 50 = 0 AND a.id <> b.id)
 SELECT * FROM p WHERE shared >= 3 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY shared DESC, id) <= 3"""
 
