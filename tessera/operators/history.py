@@ -45,10 +45,20 @@ def wikilink_targets(text: Column) -> Column:
 
 
 def feed_entries(feeds: DataFrame, xml: str) -> DataFrame:
-    """(id, title) of the entries of Atom feeds without namespaces; an entry must have both, or its feed is uneven
-    and left out; a null feed has none."""
-    read = feeds.select(F.xpath(xml, F.lit("feed/entry/id/text()")).alias("ids"), F.xpath(xml, F.lit("feed/entry/title/text()")).alias("titles")).where(F.size("ids") == F.size("titles"))
-    return read.select(F.explode(F.arrays_zip("ids", "titles")).alias("e")).select(F.col("e.ids").alias("id"), F.col("e.titles").alias("title"))
+    """(id, title, summary, published, authors) of the entries of Atom feeds, whatever prefix their names have; missing
+    fields are null, so one entry's lack touches no other. A feed that is no XML gives what entries it has; a null feed
+    has none."""
+
+    def plain(c: Column) -> Column:
+        for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            c = F.replace(c, F.lit(name), F.lit(letter))
+        return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+
+    tag = lambda name: rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>"
+    entries = feeds.select(F.explode(F.regexp_extract_all(xml, F.lit(tag("entry")), F.lit(1))).alias("entry"))
+    field = lambda name: plain(F.regexp_extract("entry", tag(name), 1)).alias(name)
+    authors = F.filter(F.transform(F.regexp_extract_all("entry", F.lit(tag("name")), F.lit(1)), plain), lambda x: x.isNotNull())
+    return entries.select(field("id"), field("title"), field("summary"), field("published"), authors.alias("authors"))
 
 
 def subject_tokens(text: Column) -> Column:

@@ -169,13 +169,19 @@ def blended(turns: DataFrame, conversation: str, turn: str, role: str, text: str
 
 
 def first_holder(quotes: DataFrame, turns: DataFrame, quote_id: str, quote: str, turn_key: list[str], text: str, shingle: int = 3) -> DataFrame:
-    """(quote_id, turn_key): the first turn that holds each quote, in lower case with single spaces. A quote meets
-    turns by its first words and is then looked for as a whole; quotes of fewer words are left out."""
+    """(quote_id, turn_key): the first turn that holds each quote as whole words, in lower case with single spaces.
+
+    A quote meets turns by its first words and is then looked for as a whole. One of fewer words is itself such a run
+    of words, so it meets the first turn of that run only, however many have it. Blank quotes are held by none."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - shingle), lambda i: F.array_join(F.slice(c, i + 1, shingle), " "))
-    wanted = quotes.select(quote_id, plain(F.col(quote)).alias("q")).withColumn("w", F.split("q", " ")).where(F.size("w") >= shingle).select(quote_id, "q", F.array_join(F.slice("w", 1, shingle), " ").alias("g"))
-    held = turns.select(*turn_key, plain(F.col(text)).alias("t")).withColumn("w", F.split("t", " ")).where(F.size("w") >= shingle)
-    held = held.select(*turn_key, "t", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.array_join(F.slice(c, i + 1, n), " "))
+    wanted = quotes.select(quote_id, plain(F.col(quote)).alias("_q")).where("_q <> ''").withColumn("_w", F.split("_q", " "))
+    held = turns.select(*turn_key, plain(F.col(text)).alias("_t")).withColumn("_w", F.split("_t", " "))
+    long = wanted.where(F.size("_w") >= shingle).select(quote_id, "_q", F.array_join(F.slice("_w", 1, shingle), " ").alias("_g"))
+    runs = held.where(F.size("_w") >= shingle).select(*turn_key, "_t", F.explode(F.array_distinct(grams(F.col("_w"), shingle))).alias("_g"))
     # A quote that begins within a word of the turn is not found by its first words, so whole words are asked for.
-    met = held.join(wanted, "g").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))))
-    return met.groupBy(quote_id).agg(F.min(F.struct(*turn_key)).alias("first")).select(quote_id, "first.*")
+    met = runs.join(long, "_g").where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_q", F.lit(" ")))).groupBy(quote_id).agg(F.min(F.struct(*turn_key)).alias("first"))
+    for n in range(1, shingle):
+        first = held.where(F.size("_w") >= n).select(*turn_key, F.explode(F.array_distinct(grams(F.col("_w"), n))).alias("_q")).groupBy("_q").agg(F.min(F.struct(*turn_key)).alias("first"))
+        met = met.unionByName(wanted.where(F.size("_w") == n).select(quote_id, "_q").join(first, "_q").select(quote_id, "first"))
+    return met.select(quote_id, "first.*")

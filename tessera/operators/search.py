@@ -98,19 +98,24 @@ def _candidates(records: DataFrame, searches: DataFrame, hits: DataFrame, order:
     return hits.select("search", "id").unionByName(met).unionByName(names.join(F.broadcast(anywhere)).select("search", "id")).distinct()
 
 
-def metadata_lane(records: DataFrame, searches: DataFrame, limit: int = R.LANE_LIMIT) -> DataFrame:
-    """(search, id, score, rank): the records (whole_records) that their fields put first for each search (search, asked,
+FIELD_POINTS = {"text_match": 1.2, "actor_match": 1.0, "source_type": 0.7, "claim_class": 0.8, "claim_status": 0.6, "pattern_type": 0.8, "file_name": 0.8, "source_path": 0.8}
+
+
+def metadata_lane(records: DataFrame, searches: DataFrame, limit: int = R.LANE_LIMIT, points: dict[str, float] | None = None, order: list[Column] | None = None) -> DataFrame:
+    """(search, id, type, summary, score, rank): the records (whole_records) that their fields put first for each search (search, asked,
     terms). 2 for the search's domain or none, the type's boost, up to 1 for recency, 1.2 for a term in the haystack,
-    what the type's own fields give, and status, significance, confidence."""
+    what the type's own fields give (`points`), and status, significance, confidence. `order` may use type, score, summary
+    and id; of records that differ in the score alone the higher must come first."""
+    order = order or [F.desc("score"), F.desc("id")]
     recent = F.when(F.col("age") >= 0, F.greatest(F.lit(0.0), 1 - F.col("age") / 365)).otherwise(0.0)
     based = records.withColumn("base", F.round(U.type_boost(F.col("type")) + recent + _standing(), 6))
     hits = matched_terms(records, searches)
-    pairs = _candidates(based, searches, hits, [F.desc("base"), F.desc("id")], limit)
+    pairs = _candidates(based.withColumn("score", F.col("base")), searches, hits, order, limit)
     none = F.array().cast("array<string>")
     met = pairs.join(hits, ["search", "id"], "left").join(based, "id").join(searches, "search").withColumn("matched", F.coalesce("matched", none))
-    bonus, _ = _bonus({"text_match": 1.2, "actor_match": 1.0, "source_type": 0.7, "claim_class": 0.8, "claim_status": 0.6, "pattern_type": 0.8, "file_name": 0.8, "source_path": 0.8})
+    bonus, _ = _bonus(FIELD_POINTS if points is None else points)
     score = F.col("base") + F.when((F.col("domain") == F.col("asked")) | (F.col("domain") == "cross_arena"), 2.0).otherwise(0.0) + bonus
-    return R.ranked(met.select("search", "id", F.round(score, 6).alias("score")), [F.desc("score"), F.desc("id")], ["search"], limit)
+    return R.ranked(met.select("search", "id", "type", "summary", F.round(score, 6).alias("score")), order, ["search"], limit)
 
 
 def former_scores(records: DataFrame, searches: DataFrame, words: DataFrame, vectors: DataFrame, limit: int = 15) -> DataFrame:

@@ -29,7 +29,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of Atom feeds; a feed holds the parts of one size."""
     entry = F.concat(F.lit("<entry><id>"), F.col("p_partkey").cast("string"), F.lit("</id><title>"), F.col("p_name"), F.lit("</title></entry>"))
     feeds = table(spark, sf_dir, "part").groupBy("p_size", F.floor(F.col("p_partkey") / 1000)).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
-    return H.feed_entries(feeds, "xml")
+    return H.feed_entries(feeds, "xml").select("id", "title")
 
 
 FEED_SQL = "SELECT p_partkey::VARCHAR AS id, p_name AS title FROM part"
@@ -96,12 +96,14 @@ PRIORITY_SQL = "SELECT p_name, count(*) AS n, (CASE WHEN list_has_any(regexp_ext
 
 
 def factual_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of turns, every second one as a question, by speaker."""
-    text = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 40), F.when(F.col("turn") % 4 < 2, "?").otherwise(""))
-    return table(spark, sf_dir, "conversations").groupBy("role", H.factual_question(text).alias("factual")).agg(_n())
+    """Turns, whole and their first 40 characters beside them, every second one as a question, by speaker."""
+    whole = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select("role", "turn", F.explode(F.array(whole, F.substring(whole, 1, 40))).alias("text"))
+    text = F.concat("text", F.when(F.col("turn") % 4 < 2, "?").otherwise(""))
+    return rows.groupBy("role", H.factual_question(text).alias("factual")).agg(_n())
 
 
-FACTUAL_SQL = r"""WITH t AS (SELECT role, coalesce(text, '')[1:40] || CASE WHEN turn % 4 < 2 THEN '?' ELSE '' END AS t FROM conversations)
+FACTUAL_SQL = r"""WITH w AS (SELECT role, turn, unnest([coalesce(text, ''), coalesce(text, '')[1:40]]) AS t FROM conversations), t AS (SELECT role, t || CASE WHEN turn % 4 < 2 THEN '?' ELSE '' END AS t FROM w)
 SELECT role, len(list_filter(regexp_split_to_array(t, '[.!?\n]'), lambda s: trim(s, ' ') <> '')) <= 2 AND contains(t, '?') AND NOT (contains(lower(t), 'i ') OR contains(lower(t), 'i''m') OR contains(lower(t), 'my ') OR contains(lower(t), 'me ') OR contains(lower(t), 'i''ve')) AS factual, count(*) AS n FROM t GROUP BY 1, 2"""
 
 
@@ -148,7 +150,7 @@ UNION ALL SELECT 'failure', user_id::VARCHAR, strftime(max(ts)::DATE + 1, '%Y-%m
 def quarantine_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What quarantining batches makes of their records: artifacts are quarantined, what waits is canceled."""
     held = _batches(spark, sf_dir).withColumn("held", F.lit(True))
-    met = _records(spark, sf_dir).join(F.broadcast(held), "batch_id", "left")
+    met = _records(spark, sf_dir).join(held, "batch_id", "left")
     after = F.when(F.col("held") & (F.col("type") == "artifact"), "quarantined").when(F.col("held") & F.col("status").isin("draft", "disputed"), "canceled").otherwise(F.col("status"))
     return met.groupBy("type", after.alias("status")).agg(_n())
 

@@ -11,6 +11,7 @@ from tessera.operators import audits as A
 from tessera.operators import entities as E
 from tessera.operators import retrieval as R
 from tessera.operators import rules as U
+from tessera.operators import search as S
 from tessera.operators.vectors import nearest
 from tessera.plans.retrieval import table, texts
 
@@ -76,11 +77,9 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("search", "asked", T.query_terms(F.col("summary")).alias("terms"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches against all records. The searches of a task's records stay together; each record meets each search."""
-    met = _records(spark, sf_dir).crossJoin(_searches(spark, sf_dir))
-    score = U.metadata_score(F.col("type"), F.col("domain"), F.col("asked"), F.col("age"), F.lower(F.concat_ws("\n", "id", "type", "summary", "status", "domain")), F.col("terms"), F.col("status"), F.col("significance"), F.col("confidence"))
-    return met.withColumn("score", F.round(score, 6))
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as searches look at them; their haystack has type and domain too."""
+    return S.whole_records(_records(spark, sf_dir).withColumn("confidence_score", F.col("confidence"))).withColumn("haystack", F.lower(F.concat_ws("\n", "id", "type", "summary", "status", "domain")))
 
 
 _SCORED = f"""q AS (SELECT no AS search, domain AS asked, list_filter(regexp_extract_all(lower(summary), '[A-Za-z0-9][A-Za-z0-9_-]+'), lambda x: length(x) > 2) AS terms FROM (SELECT min(no) AS no, domain, summary FROM rec WHERE no % 50 = 0 GROUP BY domain, summary)),
@@ -90,7 +89,8 @@ sc AS (SELECT rec.*, search, round(CASE WHEN domain = asked OR domain = 'cross_a
 
 def metadata_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metadata lane of every search: 30 records by score, then id."""
-    return R.ranked(_scored(spark, sf_dir), [F.desc("score"), F.desc("id")], ["search"], R.LANE_LIMIT).select("search", "id", "score", F.col("rank").cast("long").alias("rank"))
+    found = S.metadata_lane(_fields(spark, sf_dir), _searches(spark, sf_dir), points={"text_match": 1.2})
+    return found.select("search", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _LANE = "SELECT search, id, score, row_number() OVER (PARTITION BY search ORDER BY score DESC, id DESC) AS rank FROM sc QUALIFY rank <= 30"
@@ -99,7 +99,9 @@ METADATA_SQL = f"WITH {_REC}, {_SCORED} {_LANE}"
 
 def legacy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The former order: by type, then score, then summary; 15 records a search."""
-    return R.ranked(_scored(spark, sf_dir), [F.desc(U.type_boost(F.col("type"))), F.desc("score"), F.desc("summary"), F.desc("id")], ["search"], 15).select("search", "id", "type", "score", F.col("rank").cast("long").alias("rank"))
+    order = [F.desc(U.type_boost(F.col("type"))), F.desc("score"), F.desc("summary"), F.desc("id")]
+    found = S.metadata_lane(_fields(spark, sf_dir), _searches(spark, sf_dir), 15, {"text_match": 1.2}, order)
+    return found.select("search", "id", "type", "score", F.col("rank").cast("long").alias("rank"))
 
 
 LEGACY_SQL = f"WITH {_REC}, {_SCORED} SELECT search, id, type, score, row_number() OVER (PARTITION BY search ORDER BY {_case('type', L.TYPE_BOOST, 0)} DESC, score DESC, summary DESC, id DESC) AS rank FROM sc QUALIFY rank <= 15"
@@ -369,7 +371,7 @@ def quote_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUOTE_SQL = r"""WITH t AS (SELECT conv_id, turn, role, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) || ' ' AS t, concat_ws('-', conv_id, turn) AS quote, list_filter(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\s+'), lambda x: x <> '')[4:8] AS w FROM conversations),
-q AS (SELECT quote, role, ' ' || array_to_string(w, ' ') || ' ' AS q FROM t WHERE len(w) >= 3), m AS (SELECT q.quote, q.role, t.conv_id, t.quote AS holder FROM q JOIN t ON contains(t.t, q.q) QUALIFY row_number() OVER (PARTITION BY q.quote ORDER BY t.conv_id, t.turn) = 1)
+q AS (SELECT quote, role, ' ' || array_to_string(w, ' ') || ' ' AS q FROM t WHERE len(w) >= 1), m AS (SELECT q.quote, q.role, t.conv_id, t.quote AS holder FROM q JOIN t ON contains(t.t, q.q) QUALIFY row_number() OVER (PARTITION BY q.quote ORDER BY t.conv_id, t.turn) = 1)
 SELECT role, count(*) AS quotes, count(DISTINCT conv_id) AS conversations, count(*) FILTER (quote <> holder) AS said_before, count(*) >= 3 AND count(DISTINCT conv_id) >= 2 AS holds FROM m GROUP BY 1"""
 
 
@@ -388,7 +390,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of each batch by state, and whether the batch is quarantined."""
     held = _batches(spark, sf_dir).withColumn("quarantined", F.lit(True))
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("active", "disputed", "superseded")]
-    return _records(spark, sf_dir).groupBy("batch_id").agg(_n(), *counts).join(F.broadcast(held), "batch_id", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(False)))
+    return _records(spark, sf_dir).groupBy("batch_id").agg(_n(), *counts).join(held, "batch_id", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(False)))
 
 
 BATCH_SQL = f"WITH {_REC}, {_QUA} SELECT batch_id, count(*) AS n, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'disputed') AS disputed, count(*) FILTER (status = 'superseded') AS superseded, batch_id IN (FROM bat) AS quarantined FROM rec GROUP BY 1"
@@ -435,11 +437,11 @@ p AS (SELECT *, (CASE WHEN source = 'confirmation' THEN -1 WHEN scope = 'money'
 
 def rendered_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with role tokens, rendered for a reader, in normal form and with a time stamp; by digest."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("{{ user }} asked {{self}}: Well-known_word, "), F.split(F.coalesce("text", F.lit("")), " ")[0]).alias("line"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("{{ user }} asked {{self}}: Well-known_word, "), F.coalesce("text", F.lit(""))).alias("line"))
     return turns.select("conv_id", "turn", U.normalized(U.deixis(F.col("line"), "Ada", "Tessera")).alias("line"), U.clock(F.col("conv_id") * 61 + F.col("turn") * 7).alias("at"))
 
 
-RENDERED_SQL = r"""WITH t AS (SELECT conv_id, turn, 'Ada asked Tessera: Well-known_word, ' || string_split(coalesce(text, ''), ' ')[1] AS line, conv_id * 61 + turn * 7 AS s FROM conversations)
+RENDERED_SQL = r"""WITH t AS (SELECT conv_id, turn, 'Ada asked Tessera: Well-known_word, ' || coalesce(text, '') AS line, conv_id * 61 + turn * 7 AS s FROM conversations)
 SELECT conv_id, turn, trim(regexp_replace(translate(lower(line), '-_', '  '), '\s+', ' ', 'g')) AS line, CASE WHEN s >= 3600 THEN s // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE (s // 60)::VARCHAR END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS at FROM t"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import audits as A
 from tessera.operators import entities as E
+from tessera.operators import history as H
 from tessera.operators import queue as Q
 from tessera.operators import retrieval as R
 from tessera.operators import rules as U
@@ -124,3 +125,12 @@ def test_nearest_in_several_groups(spark):
     one = {tuple(r) for r in nearest(vectors.repartition(1), vectors.where("vec_id % 10 = 0"), 4).collect()}
     many = nearest(vectors.repartition(1), vectors.where("vec_id % 10 = 0"), 4, group=2)
     assert one == {tuple(r) for r in many.collect()} and len(one) == 24 and all(a != b for a, b, _ in one)
+
+
+def test_short_quotes_and_feeds(spark):
+    turns = spark.createDataFrame([(1, "The cat sat"), (2, "a cat  sat on it"), (3, "Concat sat on"), (4, None)], "turn long, text string")
+    quotes = spark.createDataFrame([("one", "CAT"), ("two", "cat sat"), ("three", "cat sat on"), ("none", "at sat"), ("blank", " "), ("nil", None)], "q string, text string")
+    got = {r.q: r.turn for r in U.first_holder(quotes, turns, "q", "text", ["turn"], "text").collect()}
+    assert got == {"one": 1, "two": 1, "three": 2}
+    feeds = spark.createDataFrame([('<feed xmlns="x"><title>f</title><entry><id>1</id><title type="text">A &amp;\n B</title><author><name>Q</name></author><author><name>R</name></author></entry><a:entry><a:id>2</a:id></a:entry><entry><title>C</title></entry>',), (None,), ("no xml",)], "xml string")
+    assert [(r.id, r.title, r.authors) for r in H.feed_entries(feeds, "xml").collect()] == [("1", "A & B", ["Q", "R"]), ("2", None, []), (None, "C", [])]
