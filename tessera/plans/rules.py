@@ -14,6 +14,7 @@ from tessera.operators import rules as U
 from tessera.operators import search as S
 from tessera.operators.vectors import nearest
 from tessera.plans.retrieval import table, texts
+from tessera.session import spread
 
 TYPES = ["evidence", "claim", "pattern", "artifact", "episode", "entity", "decision", "open_loop"]
 DOMAINS = ["work", "health", "money", "relationships", "cross_arena"]
@@ -79,7 +80,7 @@ def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records as searches look at them; their haystack has type and domain too."""
-    return S.whole_records(_records(spark, sf_dir).withColumn("confidence_score", F.col("confidence"))).withColumn("haystack", F.lower(F.concat_ws("\n", "id", "type", "summary", "status", "domain")))
+    return S.whole_records(spread(_records(spark, sf_dir)).withColumn("confidence_score", F.col("confidence"))).withColumn("haystack", F.lower(F.concat_ws("\n", "id", "type", "summary", "status", "domain")))
 
 
 _SCORED = f"""q AS (SELECT no AS search, domain AS asked, list_filter(regexp_extract_all(lower(summary), '[A-Za-z0-9][A-Za-z0-9_-]+'), lambda x: length(x) > 2) AS terms FROM (SELECT min(no) AS no, domain, summary FROM rec WHERE no % 50 = 0 GROUP BY domain, summary)),
