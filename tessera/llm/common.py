@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +79,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return labelled.unionByName(edges.select(F.col("label").alias("v")).distinct().join(labelled.select("v"), "v", "left_anti").withColumn("label", F.col("v")))
 
 
+def fitted_in_task(sample: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What fit makes of the rows of a bounded sample, in one task: neither the rows nor what the training needs pass
+    through the driver, which gets the model only."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(pa.Table.from_batches([b.cast(schema) for b in batches], schema))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return fit(schema.empty_table()) if found is None else pickle.loads(found[0])  # Spark may leave out a task without rows
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns through a one-row generator. Unlike those of withColumns they are not merged into what uses
     them, where a lambda would work them out again for each element."""

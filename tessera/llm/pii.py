@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fitted_in_task
 from tessera.llm.shingles import runs, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -394,8 +395,12 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit the network on at most `rows` rows, those whose doc_id has the least hash; null ids are not taken."""
     small_batches(docs.sparkSession)
     picked = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").orderBy("doc_id", "text").limit(rows).toPandas()
-    return fit([t or "" for t in sample["text"]])
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").orderBy("doc_id", "text").limit(rows)
+
+    def fitted(found: pa.Table) -> Model:
+        return fit([t for _, t in sorted((i, t or "") for i, t in zip(found["doc_id"].to_pylist(), found["text"].to_pylist()))])
+
+    return fitted_in_task(sample, fitted)
 
 
 def with_spans(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fitted_in_task
 from tessera.llm.shingles import byte_rows, runs, small_batches
 
 #: Words in a window and between windows; units in each direction; sizes of the word and character inputs.
@@ -355,8 +356,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     picked = [known.where(F.col("toxic") == c).orderBy("_h", "doc_id").limit(rows) for c in (0, 1)]
     # The picked ids are at most 2 * rows, so the other side is not shuffled.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1]).distinct()), "doc_id")
-    found = sample.select("doc_id", "text", "toxic").toPandas().fillna({"text": ""}).sort_values(["doc_id", "text", "toxic"])
-    return fit([t.encode() for t in found["text"]], [int(x) for x in found["toxic"]], (totals.get(0, 0), totals.get(1, 0)))
+    sizes = (totals.get(0, 0), totals.get(1, 0))
+
+    def fitted(found: pa.Table) -> Model:
+        found = found.to_pandas().fillna({"text": ""}).sort_values(["doc_id", "text", "toxic"])
+        return fit([t.encode() for t in found["text"]], [int(x) for x in found["toxic"]], sizes)
+
+    return fitted_in_task(sample.select("doc_id", "text", "toxic"), fitted)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "text", to: str = "score") -> DataFrame:

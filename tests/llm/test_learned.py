@@ -125,3 +125,15 @@ def test_windows_cover_long_texts():
     model = pii.fresh_model()
     assert pii.window_starts(100) == [0] and pii.window_starts(1000)[-1] == 1000 - pii.WINDOW
     assert pii.decoded_spans(model, ["", "a" * 10_000])[0] == []
+
+
+def test_models_are_fitted_in_a_task(spark, docs, empty):
+    """The driver gets the model, not the sample; a sample without rows gives one too."""
+    import os
+
+    from tessera.llm.common import fitted_in_task
+
+    told = lambda found: (os.getpid(), found.num_rows, sorted(x for x in found["doc_id"].to_pylist() if x))
+    pid, n, ids = fitted_in_task(docs, told)
+    assert pid != os.getpid() and n == docs.count() and ids == sorted(r.doc_id for r in docs.collect() if r.doc_id)
+    assert fitted_in_task(empty, told)[1:] == (0, [])
