@@ -28,11 +28,11 @@ def survivors(merges: DataFrame) -> DataFrame:
     n = own.count()
     for _ in range(ceil(log2(n)) + 1 if n else 0):
         ahead = own.select(F.col("id").alias("survivor"), F.col("survivor").alias("next"))
-        moved = written(own.join(ahead, "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
+        moved = written(own.join(ahead.hint("merge"), "survivor", "left").select("id", F.coalesce("next", "survivor").alias("survivor"), F.col("next").isNotNull().alias("moved")))
         own = moved.select("id", "survivor")
         if moved.where("moved").isEmpty():
             return own
-    circles = own.join(own.select(F.col("id").alias("survivor"), F.lit(True).alias("circle")), "survivor", "left")
+    circles = own.join(own.select(F.col("id").alias("survivor"), F.lit(True).alias("circle")).hint("merge"), "survivor", "left")
     return circles.select("id", F.when(F.col("circle").isNull(), F.col("survivor")).alias("survivor"))
 
 
@@ -51,6 +51,13 @@ def _only(pairs: DataFrame, key: str, name: str) -> DataFrame:
     return pairs.groupBy(F.col("key").alias(key)).agg(F.min("id").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
 
 
+def _met(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """asked with the columns of table by a key, both sorted, whatever Spark takes their sizes for. Rows without the key,
+    which meet nothing, are dealt out to all tasks."""
+    dealt = asked.withColumn("_deal", F.when(F.col(key).isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16)) + 1).otherwise(F.lit(0)))
+    return dealt.join(table.withColumn("_deal", F.lit(0).cast("long")).hint("merge"), [key, "_deal"], "left").drop("_deal")
+
+
 def resolve(refs: DataFrame, records: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """refs (ref, distinct) with kind and target, by records (id, path, type, names, claim_text, merged_into) and the
     paths of other files (path).
@@ -63,9 +70,9 @@ def resolve(refs: DataFrame, records: DataFrame, files: DataFrame | None = None)
     own = records.where("trim(id) <> '' AND path IS NOT NULL").select(F.trim("id").alias("id"), "path", "type", "names", "claim_text", "merged_into", path[0].isin(*INDEXED).alias("indexed"), F.array_contains(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), "archive").alias("archived"), F.element_at(path, -1).alias("file"))
     nodes = own.where("indexed")
     ids = nodes.select("id").distinct()
-    chains = survivors(nodes.select("id", F.col("merged_into").alias("into"))).join(ids.select(F.col("id").alias("survivor")), "survivor", "left_semi")
+    chains = survivors(nodes.select("id", F.col("merged_into").alias("into"))).join(ids.select(F.col("id").alias("survivor")).hint("merge"), "survivor", "left_semi")
     live = nodes.where("NOT archived")
-    by_id = ids.join(chains, "id", "left").select(F.col("id").alias("text"), F.col("id").alias("own_id"), "survivor")
+    by_id = ids.join(chains.hint("merge"), "id", "left").select(F.col("id").alias("text"), F.col("id").alias("own_id"), "survivor")
     paths = own.select(F.col("path").alias("text"), F.when(F.col("indexed"), F.col("id")).alias("path_id"), F.lit(True).alias("is_file"))
     if files is not None:
         paths = paths.unionByName(files.select(F.col("path").alias("text"), F.lit(None).cast("string").alias("path_id"), F.lit(True).alias("is_file")))
@@ -78,7 +85,9 @@ def resolve(refs: DataFrame, records: DataFrame, files: DataFrame | None = None)
     text = F.trim(F.coalesce("ref", F.lit("")))
     base = F.element_at(F.split(text, "/"), -1)
     asked = refs.select("ref", text.alias("text"), is_prose(text).alias("prose"), F.when(is_prose(text), squeezed(text)).alias("claim_key"), F.when(F.endswith(base, F.lit(".md")), base).alias("file_key"), alias_key(F.regexp_replace(base, r"\.md$", "")).alias("alias_key"))
-    met = asked.join(by_id, "text", "left").join(paths, "text", "left").join(claims, "claim_key", "left").join(files_of, "file_key", "left").join(aliases, "alias_key", "left")
+    met = asked
+    for table, key in ((by_id, "text"), (paths, "text"), (claims, "claim_key"), (files_of, "file_key"), (aliases, "alias_key")):
+        met = _met(met, table, key)
     one = lambda kind, n: F.when(F.col(f"n_{n}") == 1, F.struct(F.lit(kind).alias("kind"), F.col(n).alias("target"))).when(F.col(f"n_{n}") > 1, F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("string").alias("target")))
     fixed = lambda kind, target=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if target is None else F.col(target)).alias("target"))
     found = (
@@ -98,9 +107,9 @@ def canonical_lists(lists: DataFrame, records: DataFrame, files: DataFrame | Non
     references that name none. Each reference is resolved once, however many lists have it."""
     places = lists.select("id", F.posexplode("refs").alias("at", "ref"))
     found = resolve(places.select("ref").distinct(), records, files).withColumnRenamed("ref", "asked")
-    met = places.join(found, F.col("ref").eqNullSafe(F.col("asked"))).select("id", "at", "ref", F.when(F.col("kind").isin(*RESOLVED), F.col("target")).alias("target"))
+    met = places.join(found.hint("merge"), F.col("ref").eqNullSafe(F.col("asked"))).select("id", "at", "ref", F.when(F.col("kind").isin(*RESOLVED), F.col("target")).alias("target"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "ref", "target")))
     got = met.groupBy("id").agg(ordered.alias("all"))
     got = got.select("id", F.array_distinct(F.transform(F.filter("all", lambda x: x["target"].isNotNull()), lambda x: x["target"])).alias("kept"), F.transform(F.filter("all", lambda x: x["target"].isNull()), lambda x: x["ref"]).alias("dropped"))
     none = F.array().cast("array<string>")
-    return lists.join(got, "id", "left").select("id", F.coalesce("kept", none).alias("kept"), F.coalesce("dropped", none).alias("dropped"))
+    return lists.join(got.hint("merge"), "id", "left").select("id", F.coalesce("kept", none).alias("kept"), F.coalesce("dropped", none).alias("dropped"))

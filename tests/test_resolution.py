@@ -106,3 +106,15 @@ def test_names_one_edit_apart(spark):
     held = spark.createDataFrame([(1, "Marta Holt"), (2, "Martha Holm"), (3, "rex"), (4, "tim"), (5, "tom")], "id long, name string")
     asked = spark.createDataFrame([(1, "Martha Holt"), (2, "Rax"), (3, "Tam"), (4, "Marta Holt")], "proposal long, name string")
     assert {(r.proposal, r.id) for r in M.misspelt(asked, held).collect()} == {(1, 1), (2, 3)}
+
+
+def test_references_meet_records_by_sorting(spark):
+    """Tables that grow with the records are not sent whole to the driver and each task, however small they look."""
+    from tessera.operators import references as R
+
+    records = spark.createDataFrame([("r1", "claims/1/a.md", "claim", ["A"], "it holds that one fits", None), ("r2", "entities/2/b.md", "entity", ["B c"], None, "r1")], "id string, path string, type string, names array<string>, claim_text string, merged_into string")
+    lists = spark.createDataFrame([("x", ["r2", None, "b.md", "it holds that one fits", "b-c", "claims/1/a.md", "no"])], "id string, refs array<string>")
+    found = R.canonical_lists(lists, records)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    row = found.first()
+    assert row.kept == ["r1", "r2"] and row.dropped == [None, "no"]
