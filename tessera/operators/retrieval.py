@@ -28,8 +28,10 @@ def postings(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     return exploded.groupBy("term", doc).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
-def bm25(docs: DataFrame, doc: str, terms: Column, queries: DataFrame, query: str, query_terms: Column) -> DataFrame:
-    """(query, doc, score) of all documents that share a term with a query.
+def bm25(docs: DataFrame, doc: str, terms: Column, queries: DataFrame, query: str, query_terms: Column, alike: int | None = None) -> DataFrame:
+    """(query, doc, score) of all documents that share a term with a query. alike: of documents that all queries score
+    the same (equal lengths, equal numbers of asked terms) only so many, those with the highest doc; for the first so
+    many of each query by score, then doc, no others are needed.
 
     idf is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive; a term that a query repeats counts
     as often. Only the postings of query terms leave the first stage, which is stored. docs must have each doc once."""
@@ -49,6 +51,9 @@ def bm25(docs: DataFrame, doc: str, terms: Column, queries: DataFrame, query: st
     n = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighted = n.crossJoin(F.broadcast(stats)).select("term", "avg_dl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    if alike is not None:
+        bags = held.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("_bag"), F.max("dl").alias("dl"))
+        held = written(ranked(bags, [F.desc(doc)], ["_bag", "dl"], alike).select(doc, "dl", F.inline("_bag")))
     met = held.join(wanted, "term").join(weighted, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return met.groupBy(query, doc).agg(F.sum(part).alias("score"))

@@ -110,8 +110,8 @@ LEGACY_SQL = f"WITH {_REC}, {_SCORED} SELECT search, id, type, score, row_number
 
 def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata, keyword and vector lanes of every search; a record's vector is that of its number."""
-    records = _records(spark, sf_dir).withColumn("terms", T.query_terms(F.col("summary")))
-    words = R.bm25(records, "id", F.col("terms"), _searches(spark, sf_dir), "search", F.col("terms")).withColumn("score", F.round("score", 6))
+    records = spread(_records(spark, sf_dir)).withColumn("terms", T.query_terms(F.col("summary")))
+    words = R.bm25(records, "id", F.col("terms"), _searches(spark, sf_dir), "search", F.col("terms"), R.LANE_LIMIT).withColumn("score", F.round("score", 6))
     words = R.ranked(words, [F.desc("score"), F.desc("id")], ["search"], R.LANE_LIMIT)
     numbers = _records(spark, sf_dir).select(F.col("no").alias("vec_id"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(numbers, "vec_id", "left_semi")
