@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LEAST_ROWS, ITERATIONS = 16, 30
 #: Searches that go out at a time.
 GROUP = 20_000
+#: Scores that a task holds at a time.
+CELLS = 4_000_000
 
 
 def calibrate(rows: DataFrame, column: str = "embedding") -> tuple[np.ndarray, np.ndarray] | None:
@@ -79,17 +81,24 @@ def nearest(rows: DataFrame, searches: DataFrame, most: int, group: int = GROUP)
 
         def near(batches: Iterator[pd.DataFrame], held=held, size=size) -> Iterator[pd.DataFrame]:
             ids, units = held.value
+            floor = np.full(len(ids), -np.inf)
             best = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
             for batch in batches:
                 batch = batch[[x is not None and len(x) == size for x in batch["embedding"]]].sort_values("vec_id")
                 if not len(batch):
                     continue
-                own = batch["vec_id"].to_numpy()
-                scores = np.round(units @ _units(np.stack(batch["embedding"])).T, 6)
-                scores[ids[:, None] == own] = -np.inf
-                at = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                found = pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "vec_id": own[at].ravel(), "score": np.take_along_axis(scores, at, 1).ravel()})
-                best = pd.concat([best, found[found["score"] > -np.inf]]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(most)
+                own, vectors = batch["vec_id"].to_numpy(), _units(np.stack(batch["embedding"])).T
+                parts, step, cut = [best], max(1, CELLS // len(own)), len(own) - most
+                for k in range(0, len(ids), step):  # so many searches at a time that their scores stay bounded
+                    scores = np.round(units[k : k + step] @ vectors, 6)
+                    scores[ids[k : k + step, None] == own] = -np.inf
+                    least = np.partition(scores, cut, axis=1)[:, cut] if cut > 0 else np.full(len(scores), -np.inf)
+                    of, at = np.nonzero((scores >= np.maximum(least, floor[k : k + step])[:, None]) & (scores > -np.inf))
+                    parts.append(_first(pd.DataFrame({"query_id": ids[k + of], "vec_id": own[at], "score": scores[of, at]}), most))
+                best = _first(pd.concat(parts), most)
+                full = best.groupby("query_id")["score"].agg(["size", "min"])  # what is below a full list's last has no place
+                full = full[full["size"] == most]["min"]
+                floor = full.reindex(ids).fillna(-np.inf).to_numpy()
             yield best
 
         found = rows.select("vec_id", "embedding").mapInPandas(near, "query_id long, vec_id long, score double")
@@ -97,6 +106,11 @@ def nearest(rows: DataFrame, searches: DataFrame, most: int, group: int = GROUP)
     return spark.createDataFrame([], "query_id long, vec_id long, score double") if out is None else out
 
 
+def _first(found: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The first rows of each search by score, then vec_id."""
+    return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(most)
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)

@@ -78,3 +78,21 @@ def test_recall_on_embeddings(spark):
     pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
     true, got = pairs(V.search(index, asked, fitted, 10)), pairs(V.search(index, asked, fitted, 10, probes))
     assert len(true) == 400 and len(true & got) >= 0.9 * len(true) and F is not None
+
+
+def test_scores_are_held_in_bounded_blocks(spark, monkeypatch):
+    """However many searches meet a batch, a task holds a bounded number of scores; ties go to the least id."""
+    import numpy as np
+
+    from tessera.operators import vectors as V
+
+    assert V.CELLS <= 10_000_000
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (300, 4)).astype(float) + 0.5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(1)
+    units = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(units @ units.T, 6)
+    np.fill_diagonal(scores, -np.inf)
+    true = {(i, int(j)) for i in range(300) for j in np.argsort(-scores[i], kind="stable")[:7]}
+    monkeypatch.setattr(V, "CELLS", 1000)
+    assert {(r.query_id, r.vec_id) for r in V.nearest(rows, rows, 7).collect()} == true
