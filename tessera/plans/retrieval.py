@@ -9,7 +9,7 @@ from tessera.functions import lexicons as L
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.operators.vectors import calibrate, corrected, nearest
-from tessera.session import spread
+from tessera.session import spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +95,7 @@ def anisotropy_corrected_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As cosine_topk, on vectors without the corpus mean and strongest direction. No SQL: the power iteration."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = calibrate(rows)
-    return _topk(rows if found is None else rows.select("vec_id", corrected(F.col("embedding"), *found).alias("embedding")))
+    return _topk(rows if found is None else written(spread(rows).select("vec_id", corrected(F.col("embedding"), *found).alias("embedding"))))
 
 
 COSINE_SQL = """
