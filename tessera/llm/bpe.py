@@ -26,7 +26,9 @@ EXTRA_SPACES = regex.compile("[\x1c-\x1f]")
 END = "</w>"
 PIECES_OF_LINES = regex.compile(PIECE + "|\n")
 #: Pieces kept with their ids in each Python worker; at more the store starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
+#: Bytes of texts in one step: the arrays that a step needs are many times as large.
+SLICE_BYTES = 1_000_000
 #: Longer pieces are merged with a heap, shorter ones so many at a time in a matrix.
 SHORT_PIECE, ROWS = 40, 4096
 NEVER = np.int64(2**62)
@@ -342,7 +344,7 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Runs of rows with about so many bytes, to bound what one step holds."""
     sizes = np.r_[0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]
     at = 0

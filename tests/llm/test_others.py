@@ -139,3 +139,9 @@ def test_compatible_pairs_are_those_that_merging_keeps():
         letters = [*model.tokens[x], *model.tokens[y][:-4]]
         ids = [*(int(model.single[0, ord(c)]) for c in letters[:-1]), int(model.single[1, ord(letters[-1])])]
         assert good == (model.merged(ids) == [x, y])
+
+
+def test_bpe_steps_are_bounded():
+    texts = pa.array([None, "one two " * 60_000, "", *["three four " * 500] * 400])
+    steps = list(bpe._slices(texts))
+    assert max(x.nbytes for x in steps) < 1_100_000 and pa.concat_arrays(steps) == texts and bpe.CACHE_PIECES <= 100_000
