@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import lexicons as L
 from tessera.operators.retrieval import allowed_edges, relation_bonus
 from tessera.operators.rules import domain_gate, relation_place
 from tessera.session import written
@@ -65,20 +66,40 @@ def _walk(candidates: DataFrame, hop: int, budget: int, across: int) -> DataFram
     return dealt.mapInArrow(run, f"{RESULT}, crossed boolean")
 
 
-def _candidates(frontier: DataFrame, edges: DataFrame, records: DataFrame, coupled: DataFrame, hop: int) -> DataFrame:
-    """Edges from each search's frontier (search, id, frontier, score, path, areas, domains, fallback, taken, used) that the
-    whitelist lets through, with the gate between their domains. `areas`: the areas of each pattern on the path."""
+def _open_edges(edges: DataFrame, records: DataFrame, budget: int) -> DataFrame:
+    """Edges that the whitelist lets through, with what is known of both ends, as far as any search can come.
+
+    An edge whose target is visible and in its source's domain (or one of them is in all domains) is taken by every
+    search, or its target has been. So after the edges to `budget` such targets, in the order in which a source's edges
+    are walked, every search is full, and no later edge of that source is ever looked at."""
     of = records.select(F.col("id").alias("source_id"), F.col("type").alias("source_type"), F.col("domain").alias("source_domain"))
-    to = records.select(F.col("id").alias("target_id"), F.col("type").alias("target_type"), F.col("domain").alias("target_domain"), F.col("areas").alias("target_areas"), "blocked")
-    typed = edges.join(of, "source_id").join(to, "target_id")
-    met = frontier.withColumnRenamed("id", "source_id").join(allowed_edges(typed), "source_id")
+    to = records.select(F.col("id").alias("target_id"), F.col("type").alias("target_type"), F.col("domain").alias("target_domain"), "blocked")
+    relations = {s: sorted({r for kind, _, rs in L.EDGE_WHITELIST if kind == s for r in rs}) for s, _, _ in L.EDGE_WHITELIST}
+    asked = F.lit(False)
+    for kind, own in relations.items():
+        asked = asked | ((F.col("source_type") == kind) & F.col("relation").isin(own))
+    typed = edges.join(of, "source_id").where(asked).join(to, "target_id").withColumn("place", relation_place(F.col("source_type"), F.col("relation")))
+    sure = (F.coalesce("blocked", F.lit("")) == "") & ((F.col("source_domain") == F.col("target_domain")) | (F.col("source_domain") == "cross_arena") | (F.col("target_domain") == "cross_arena"))
+    met = allowed_edges(typed.repartition("source_id"))
+    # A target counts where it first comes, however many relations lead to it.
+    first = F.row_number().over(Window.partitionBy("source_id", "target_id").orderBy("place", "relation")) == 1
+    met = met.withColumn("_new", (sure & first).cast("int"))
+    before = Window.partitionBy("source_id").orderBy("place", "target_id", "relation").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("_sure", F.coalesce(F.sum("_new").over(before), F.lit(0)))
+    return met.where(F.col("_sure") < budget).drop("_new", "_sure")
+
+
+def _candidates(frontier: DataFrame, edges: DataFrame, coupled: DataFrame, hop: int) -> DataFrame:
+    """Open edges from each search's frontier (search, id, frontier, score, path, areas, domains, fallback, taken, used),
+    with the gate between their domains. `areas`: the areas of each pattern on the path."""
+    met = frontier.withColumnRenamed("id", "source_id").join(edges, "source_id")
     met = met.join(coupled.select(F.col("a").alias("source_domain"), F.col("b").alias("target_domain"), F.lit(True).alias("coupled")), ["source_domain", "target_domain"], "left")
     bridged = F.exists("areas", lambda a: F.array_contains(a, F.col("source_domain")) & F.array_contains(a, F.col("target_domain")) & (F.size(a) > 1))
     gate = domain_gate(F.col("source_domain"), F.col("target_domain"), F.size("domains"), bridged, F.coalesce("coupled", F.lit(False)))
     domain = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("fallback"))
     crosses = (domain("source_domain") != domain("target_domain")) & (domain("source_domain") != "cross_arena") & (domain("target_domain") != "cross_arena")
     score = F.bround(F.greatest(F.lit(0.1), F.col("score") * 0.85 + relation_bonus(F.col("relation")) - 0.08 * hop), 3)
-    return met.select("search", "frontier", "path", "areas", "domains", "fallback", "taken", "used", "source_id", "source_type", "relation", "target_id", "target_type", "target_areas", "blocked", gate.alias("gate"), F.coalesce(crosses, F.lit(False)).alias("crosses"), score.alias("score"), relation_place(F.col("source_type"), F.col("relation")).alias("place"))
+    return met.select("search", "frontier", "path", "areas", "taken", "used", "source_id", "source_type", "relation", "target_id", "target_type", "place", "blocked", gate.alias("gate"), F.coalesce(crosses, F.lit(False)).alias("crosses"), score.alias("score"))
 
 
 def expand(seeds: DataFrame, records: DataFrame, edges: DataFrame, searches: DataFrame, coupled: DataFrame, budget: int = BUDGET, across: int = ACROSS, hops: int = HOPS) -> DataFrame:
@@ -92,14 +113,15 @@ def expand(seeds: DataFrame, records: DataFrame, edges: DataFrame, searches: Dat
     has met as hidden or refused is not expanded from later. From the second hop on sources count with a score of 0.
     Repeated edges are one; a seed may be found too."""
     records = records.select("id", "type", F.coalesce("domain", F.lit("")).alias("domain"), F.when(F.col("type") == "pattern", F.array_distinct(F.filter(F.concat(F.coalesce("areas", F.array().cast("array<string>")), F.array("domain")), lambda a: F.coalesce(a, F.lit("")) != ""))).alias("areas"), "blocked")
-    edges = edges.select("source_id", "target_id", F.coalesce("relation", F.lit("links")).alias("relation")).where("source_id <> '' AND target_id <> ''").distinct()
+    edges = edges.select("source_id", "target_id", F.coalesce("relation", F.lit("links")).alias("relation")).where("source_id <> '' AND target_id <> ''")
+    edges = written(_open_edges(edges, records, budget))
     none = F.array().cast("array<string>")
     pattern = F.when(F.col("areas").isNotNull(), F.array("areas")).otherwise(F.array().cast("array<array<string>>"))
     frontier = seeds.join(records.select("id", pattern.alias("areas")), "id").join(searches, "search")
     frontier = frontier.select("search", "id", F.col("rank").alias("frontier"), "score", F.array("id").alias("path"), "areas", "domains", "fallback", none.alias("taken"), F.lit(0).alias("used"))
     found = None
     for hop in range(1, hops + 1):
-        candidates = written(_candidates(frontier, edges, records, coupled, hop))
+        candidates = written(_candidates(frontier, edges, coupled, hop))
         met = written(_walk(candidates, hop, budget, across))
         found = met if found is None else found.unionByName(met)
         if hop == hops:

@@ -81,3 +81,11 @@ def test_empty_and_paths(spark):
     got = X.expand(empty("search string, id string, rank int, score double"), empty(RECORD), empty("source_id string, target_id string, relation string"), empty("search string, domains array<string>, fallback string"), empty("a string, b string"))
     assert got.count() == 0
     assert spark.range(1).select(X.path_text(F.array(F.lit("a"), F.lit("b")))).first()[0] == "a -> b"
+
+
+def test_only_edges_that_a_search_can_come_to_are_kept(spark):
+    records = spark.createDataFrame([("s", "claim", "work", [], None)] + [(f"t{i:02}", "evidence", "work" if i % 2 else "money", [], None) for i in range(40)], RECORD)
+    edges = spark.createDataFrame([("s", f"t{i:02}", r) for i in range(40) for r in ("links", "supporting_evidence")], "source_id string, target_id string, relation string")
+    kept = {(r.target_id, r.relation) for r in X._open_edges(edges, records, 3).collect()}
+    # Targets of the source's own domain are t01, t03, t05; no search looks behind the third of them.
+    assert kept == {(f"t{i:02}", "supporting_evidence") for i in range(6)}
