@@ -1,5 +1,6 @@
 """Folders of notes as a data source, chunks by headings, and routes of notes."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, Not, StringStartsWith
@@ -88,3 +89,11 @@ def test_documents_replace_their_chunks(spark):
     assert sorted((r.document, r.chunk_index) for r in again.collect()) == [("a", 0), ("b", 0), ("c", 0)]
     with pytest.raises(ValueError):
         G.documents_taken_in(first, docs(("a", "short")))
+
+
+def test_chunks_are_held_for_few_texts_at_a_time(spark):
+    texts = pa.array([None, "a b " * 400_000, "", *["word " * 20_000] * 30])
+    parts = list(C._slices((texts, texts)))
+    assert [len(p[0]) for p in parts[:2]] == [1, 1] and all(len(p[0]) <= 6 for p in parts) and pa.concat_arrays([p[0] for p in parts]) == texts
+    C.chunked(spark.createDataFrame([("a", "t")], "text string, title string"), F.col("text"), F.col("title"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
