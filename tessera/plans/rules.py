@@ -14,7 +14,7 @@ from tessera.operators import rules as U
 from tessera.operators import search as S
 from tessera.operators.vectors import nearest
 from tessera.plans.retrieval import table, texts
-from tessera.session import spread
+from tessera.session import pieces, spread
 
 TYPES = ["evidence", "claim", "pattern", "artifact", "episode", "entity", "decision", "open_loop"]
 DOMAINS = ["work", "health", "money", "relationships", "cross_arena"]
@@ -172,7 +172,8 @@ FROM rec JOIN a USING (artifact_ref) LEFT JOIN b USING (artifact_ref) WHERE type
 
 def relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three edges of each record (its order lines) by relation, as its type ranks them, then target."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("no"), F.col("l_suppkey").alias("target"), _pick(RELATIONS, F.col("l_orderkey") + F.col("l_linenumber")).alias("relation")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("no"), F.col("l_suppkey").alias("target"), _pick(RELATIONS, F.col("l_orderkey") + F.col("l_linenumber")).alias("relation"))
+    edges = edges.repartition(pieces(table(spark, sf_dir, "lineitem")), "no").distinct()
     met = edges.join(_records(spark, sf_dir).select("no", "type"), "no").withColumn("place", U.relation_place(F.col("type"), F.col("relation")).cast("long"))
     return R.ranked(met, [F.asc("place"), F.asc("target"), F.asc("relation")], ["no"], 3).select("no", "relation", "target", "place", F.col("rank").cast("long").alias("rank"))
 

@@ -64,6 +64,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= FEW_BYTES else df
 
 
+#: Bytes of a table (as it is stored, compressed) that one piece of it has when it is dealt by keys.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(*tables: DataFrame) -> int:
+    """How many pieces work on rows of these tables is dealt to: as many as the bytes of the files beneath ask for, so
+    that a task's memory does not grow with them. Rows of unknown size get the session's number."""
+    spark = tables[0].sparkSession
+    leaves = [t._jdf.queryExecution().optimizedPlan().collectLeaves() for t in tables]
+    sizes = [int(of.apply(i).stats().sizeInBytes()) for of in leaves for i in range(of.size())]
+    size = sum(x for x in sizes if x < 1 << 60)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-size // PIECE_BYTES)))
+
+
 def clear_work(spark: SparkSession) -> int:
     """Delete the folders that work_dir() gave out in this process; returns how many. For the end of a job, when nothing
     reads them any more."""
