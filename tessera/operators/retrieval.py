@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
-from tessera.session import written
+from tessera.session import pieces, written
 
 K1, B = 1.2, 0.75
 RRF_K, LANE_LIMIT, FUSED_LIMIT = 60, 30, 20
@@ -86,15 +86,19 @@ def npmi_edges(events: DataFrame, event: str, item: str, least: int = 3, floor:
     count, if that is given; pairs that are authored (source, target, either way) learn nothing."""
     if last is not None:  # the bound comes first: events of one item use it up too
         events = events.join(events.select(event).distinct().orderBy(F.desc(event)).limit(last), event, "left_semi")
-    sets = events.select(event, item).where(F.col(item).isNotNull()).distinct()
+    n = pieces(events)
+    sets = events.select(event, item).where(F.col(item).isNotNull()).repartition(n, event).distinct()
     big = sets.groupBy(event).count().where("count >= 2").select(event)
     sets = sets.join(big, event)
     total = big.agg(F.count(F.lit(1)).alias("n"))
-    single = sets.groupBy(item).agg(F.count(F.lit(1)).alias("c"))
+    by_item = sets.repartition(n, item)
+    single = by_item.groupBy(item).agg(F.count(F.lit(1)).alias("c"))
     # An item in few events has no pair in `least` of them, so the self-join leaves it out.
-    often = sets.join(single.where(F.col("c") >= least).select(item), item, "left_semi")
+    often = by_item.join(single.where(F.col("c") >= least).select(item), item, "left_semi").repartition(n, event)
     pairs = often.alias("a").join(often.alias("b"), event).where(F.col(f"a.{item}") < F.col(f"b.{item}"))
-    pairs = pairs.groupBy(F.col(f"a.{item}").alias("source"), F.col(f"b.{item}").alias("target")).agg(F.count(F.lit(1)).alias("co_count")).where(F.col("co_count") >= least)
+    # There are several times as many pairs as rows, and hardly any twice in one piece: they are dealt out before they are counted.
+    pairs = pairs.select(F.col(f"a.{item}").alias("source"), F.col(f"b.{item}").alias("target")).repartition(2 * n, "source", "target")
+    pairs = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("co_count")).where(F.col("co_count") >= least)
     if authored is not None:
         known = authored.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
         pairs = pairs.join(known, ["source", "target"], "left_anti")

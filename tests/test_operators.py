@@ -134,3 +134,16 @@ def test_short_quotes_and_feeds(spark):
     assert got == {"one": 1, "two": 1, "three": 2}
     feeds = spark.createDataFrame([('<feed xmlns="x"><title>f</title><entry><id>1</id><title type="text">A &amp;\n B</title><author><name>Q</name></author><author><name>R</name></author></entry><a:entry><a:id>2</a:id></a:entry><entry><title>C</title></entry>',), (None,), ("no xml",)], "xml string")
     assert [(r.id, r.title, r.authors) for r in H.feed_entries(feeds, "xml").collect()] == [("1", "A & B", ["Q", "R"]), ("2", None, []), (None, "C", [])]
+
+
+def test_pieces_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    from tessera import session
+
+    spark.range(100_000).selectExpr("id AS l_orderkey", "id % 7 AS l_partkey").write.parquet(str(tmp_path / "t"))
+    lines = spark.read.parquet(str(tmp_path / "t"))
+    few = session.pieces(lines)
+    monkeypatch.setattr(session, "PIECE_BYTES", 10_000)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) and session.pieces(lines) > 5 * few
+    # Events are dealt to as many pieces as the table asks for, in every step of the pairs.
+    plan = R.npmi_edges(lines, "l_orderkey", "l_partkey")._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {session.pieces(lines)}" in plan and f", {2 * session.pieces(lines)}" in plan
