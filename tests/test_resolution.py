@@ -118,3 +118,10 @@ def test_references_meet_records_by_sorting(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     row = found.first()
     assert row.kept == ["r1", "r2"] and row.dropped == [None, "no"]
+
+
+def test_names_of_one_kind_meet_texts_once(spark):
+    names = spark.createDataFrame([(f"e{k}", f"supplier#{i:09}") for i in range(300) for k in (i, i + 300, i + 600)] + [("short", "abc")], "id string, name string")
+    texts = [f"by supplier#{i:09} and abc" for i in range(0, 300, 7)] + ["supplier#00000001", ""]
+    found = {r.text: [(x.place, x.entity) for x in r.found] for r in P._named(spark.createDataFrame([(t,) for t in texts], "text string"), names).collect()}
+    assert found == {t: [*((3, e) for e in sorted(f"e{k}" for k in (i, i + 300, i + 600))[:2]), (t.index("abc"), "short")] for i, t in zip(range(0, 300, 7), texts)}
