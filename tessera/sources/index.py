@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import heads as H
 from tessera.functions import text as T
 from tessera.functions.lexicons import REVIEWED_BY_PROFESSIONALS
+from tessera.session import written
 from tessera.sources.records import FENCE, refuse_shrinking
 
 #: Fields of the head that become columns as they are (missing: empty), and those whose missing values stay null.
@@ -153,8 +154,11 @@ def settled(table: str, rows: DataFrame) -> DataFrame:
 
 def built(files: DataFrame) -> dict[str, DataFrame]:
     """All tables of the index of files (path, raw)."""
-    own = winners(file_rows(files))
-    return {"files": own} | {name: settled(name, rows(own)) for name, rows in SIDES.items()}
+    rows = file_rows(files)
+    # The side tables ask for heads, and for the bodies of episodes only: these are worked out once and stored.
+    heads = rows.drop("content", "content_hash", "word_count", "token_count_approx").withColumn("body", F.when(F.col("type") == "episode", F.col("body")))
+    own = winners(written(heads))
+    return {"files": winners(rows)} | {name: settled(name, side(own)) for name, side in SIDES.items()}
 
 
 class RecordIndex:

@@ -142,3 +142,9 @@ def test_listings_and_fields(spark):
         assert spark.range(1).select(H.state_category(F.lit(value).cast("string"), F.lit(summary))).first()[0] == expected
     odd = spark.createDataFrame([(None,), ("",), ("one",), ('["a", "", null, "b"]',), ("[]",), ("[1, 2]",)], "v string")
     assert [r[0] for r in odd.select(H.listed(F.col("v"))).collect()] == [[], [], ["one"], ["a", "b"], [], ["1", "2"]]
+
+
+def test_side_tables_read_stored_heads(spark):
+    files = spark.createDataFrame([("records/a.md", '---\n{"id": "a", "type": "claim", "summary": "s"}\n---\nbody')], "path string, raw string")
+    tables = I.built(files)
+    assert "json_tuple" not in tables["claims"]._jdf.queryExecution().analyzed().toString() and [r.id for r in tables["claims"].collect()] == ["a"]
