@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexicons as L
 from tessera.functions import text as T
+from tessera.session import pieces, written
 
 # Types that a quarantined batch or artifact hides; standing of a status; order of relations by type.
 DEPENDENT = ["evidence", "claim", "pattern", "skeptical_review", "episode", "decision", "open_loop", "state", "report"]
@@ -171,17 +172,26 @@ def blended(turns: DataFrame, conversation: str, turn: str, role: str, text: str
 def first_holder(quotes: DataFrame, turns: DataFrame, quote_id: str, quote: str, turn_key: list[str], text: str, shingle: int = 3) -> DataFrame:
     """(quote_id, turn_key): the first turn that holds each quote as whole words, in lower case with single spaces.
 
-    A quote meets turns by its first words and is then looked for as a whole. One of fewer words is itself such a run
-    of words, so it meets the first turn of that run only, however many have it. Blank quotes are held by none."""
+    Turns are stored once, numbered by their key. A quote is a run of words, so it meets the first turn of that run only,
+    however many have it. Runs of fewer words than `shingle` are all dealt out, longer ones only where a hash of their first
+    words is that of a quote: of every place in a turn a number goes out, not its words. Blank quotes are held by none."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.array_join(F.slice(c, i + 1, n), " "))
-    wanted = quotes.select(quote_id, plain(F.col(quote)).alias("_q")).where("_q <> ''").withColumn("_w", F.split("_q", " "))
-    held = turns.select(*turn_key, plain(F.col(text)).alias("_t")).withColumn("_w", F.split("_t", " "))
-    long = wanted.where(F.size("_w") >= shingle).select(quote_id, "_q", F.array_join(F.slice("_w", 1, shingle), " ").alias("_g"))
-    runs = held.where(F.size("_w") >= shingle).select(*turn_key, "_t", F.explode(F.array_distinct(grams(F.col("_w"), shingle))).alias("_g"))
-    # A quote that begins within a word of the turn is not found by its first words, so whole words are asked for.
-    met = runs.join(long, "_g").where(F.contains(F.concat(F.lit(" "), "_t", F.lit(" ")), F.concat(F.lit(" "), "_q", F.lit(" ")))).groupBy(quote_id).agg(F.min(F.struct(*turn_key)).alias("first"))
-    for n in range(1, shingle):
-        first = held.where(F.size("_w") >= n).select(*turn_key, F.explode(F.array_distinct(grams(F.col("_w"), n))).alias("_q")).groupBy("_q").agg(F.min(F.struct(*turn_key)).alias("first"))
-        met = met.unionByName(wanted.where(F.size("_w") == n).select(quote_id, "_q").join(first, "_q").select(quote_id, "first"))
-    return met.select(quote_id, "first.*")
+    start = lambda i: F.xxhash64(F.slice("_w", i, shingle))
+    run = lambda i, n: F.array_join(F.slice("_w", i, n), " ")
+    starts = lambda n: F.sequence(F.lit(1), F.size("_w") - n + 1)
+    wanted = quotes.select(quote_id, plain(F.col(quote)).alias("_q")).where("_q <> ''")
+    sized = wanted.select("_q").distinct().withColumn("_w", F.split("_q", " ")).withColumn("_n", F.size("_w"))
+    ordered = turns.select(*turn_key, text).repartitionByRange(pieces(turns), *turn_key).sortWithinPartitions(*turn_key)
+    stored = written(ordered.select(*turn_key, plain(F.col(text)).alias("_t"), F.monotonically_increasing_id().alias("_at")))
+    said = stored.select("_at", "_t")
+    held = said.select("_at", F.split("_t", " ").alias("_w"))
+    few = F.broadcast(sized.where(F.col("_n") < shingle).select("_n").distinct())
+    short = held.crossJoin(few).where(F.size("_w") >= F.col("_n")).select("_at", F.explode(F.array_distinct(F.transform(starts(F.col("_n")), lambda i: run(i, F.col("_n"))))).alias("_q"))
+    heads = sized.where(F.col("_n") >= shingle).groupBy(start(1).alias("_k")).agg(F.collect_set("_n").alias("_ns"))
+    places = held.where(F.size("_w") >= shingle).select("_at", F.posexplode(F.transform(starts(shingle), start)).alias("_i", "_k"))
+    # Places of equal hashes may have other words, and a text may end before the quote does: equal runs decide.
+    fit = F.filter("_ns", lambda n: F.col("_i") + n <= F.size("_w"))
+    long = places.join(heads, "_k").drop("_k").join(said, "_at").withColumn("_w", F.split("_t", " ")).select("_at", F.explode(F.transform(fit, lambda n: run(F.col("_i") + 1, n))).alias("_q"))
+    first = [x.groupBy("_q").agg(F.min("_at").alias("_at")).join(sized.select("_q"), "_q") for x in (short, long)]
+    found = first[0].unionByName(first[1]).join(stored.select("_at", F.struct(*turn_key).alias("_key")), "_at")
+    return wanted.join(found, "_q").groupBy(quote_id).agg(F.min_by("_key", "_at").alias("first")).select(quote_id, "first.*")

@@ -136,6 +136,33 @@ def test_short_quotes_and_feeds(spark):
     assert [(r.id, r.title, r.authors) for r in H.feed_entries(feeds, "xml").collect()] == [("1", "A & B", ["Q", "R"]), ("2", None, []), (None, "C", [])]
 
 
+def _sent(df):
+    """Bytes of rows that the shuffles of a collected query had, before compression."""
+
+    def walk(plan):
+        inner = "executedPlan" if plan.nodeName() == "AdaptiveSparkPlan" else "plan" if plan.nodeName().endswith("QueryStage") else None
+        of = plan.children()
+        below = [getattr(plan, inner)()] if inner else [of.apply(i) for i in range(of.size())]
+        return (plan.metrics().apply("dataSize").value() if plan.nodeName() == "Exchange" else 0) + sum(map(walk, below))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_quotes_meet_turns_by_numbers_not_by_texts(spark):
+    texts = {k: [f"w{(k * 37 + j * j) % 1009}" if j % 9 else "Of all the".split()[j // 9 % 3] for j in range(600)] + ["of", "all", "the", f"t{k}", f"t{k}"] for k in range(30)}
+    texts |= {40: ["of", "all"], 41: ["of", "all", "the"], 42: ["x"] * 50}
+    turns = spark.createDataFrame([(k // 4, k, " ".join(w)) for k, w in sorted(texts.items(), reverse=True)] + [(None, 7, "x of all the T3"), (50, 50, None)], "conv int, turn int, text string")
+    asked = {f"{k}-{i}-{n}": " ".join(w[i : i + n]) for k, w in texts.items() for i, n in ((0, 9), (5, 40), (len(w) - 5, 4), (len(w) - 5, 5), (3, 2), (7, 1)) if len(w) > 50 or n < 3}
+    asked |= {"early": "of all the t3", "over the end": "of all the t3 t3 t3", "not in a row": "of all the t3 w1", "within": "f all the t3"}
+    found = U.first_holder(spark.createDataFrame(list(asked.items()), "q string, quote string"), turns, "q", "quote", ["conv", "turn"], "text")
+    got = {r.q: (r.conv, r.turn) for r in found.collect()}
+    held = [((None, 7), " x of all the t3 ")] + [((k // 4, k), f" {' '.join(w).lower()} ") for k, w in sorted(texts.items())]
+    first = {q: next((key for key, t in held if f" {x.lower()} " in t), None) for q, x in asked.items() if x}
+    assert got == {q: key for q, key in first.items() if key} and got["early"] == (None, 7) and "over the end" not in got
+    # A turn's words are not sent with each of its places.
+    assert _sent(found) < 30 * sum(len(t) for _, t in held)
+
+
 def test_pieces_grow_with_the_tables(spark, tmp_path, monkeypatch):
     from tessera import session
 
