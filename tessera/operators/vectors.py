@@ -53,12 +53,13 @@ def corrected(vector: Column, mean: np.ndarray, direction: np.ndarray) -> Column
     """The vector less the mean, without the direction, at unit length; as it is where its length differs or
     nothing is left of it. vector must be a column, not an expression."""
     mean_c, dir_c = (F.array(*(F.lit(float(x)) for x in v)) for v in (mean, direction))
-    centred = F.zip_with(vector, mean_c, lambda x, m: x.cast("double") - m)
+    # Spark works out what stands in a lambda anew for each element: what a whole vector shares is bound to a name first.
+    bound = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    along = total(F.zip_with(centred, dir_c, lambda x, d: x * d))
-    left = F.transform(F.arrays_zip(centred.alias("x"), dir_c.alias("d")), lambda z: z["x"] - along * z["d"])
-    norm = F.sqrt(total(F.transform(left, lambda x: x * x)))
-    return F.when((F.size(vector) == len(mean)) & (norm > 1e-9), F.transform(left, lambda x: x / norm)).otherwise(vector.cast("array<double>"))
+    given = vector.cast("array<double>")
+    unit = lambda left: bound(F.sqrt(total(F.transform(left, lambda x: x * x))), lambda norm: F.when(norm > 1e-9, F.transform(left, lambda x: x / norm)).otherwise(given))
+    without = lambda centred: bound(total(F.zip_with(centred, dir_c, lambda x, d: x * d)), lambda along: bound(F.zip_with(centred, dir_c, lambda x, d: x - along * d), unit))
+    return F.when(F.size(vector) == len(mean), bound(F.zip_with(vector, mean_c, lambda x, m: x.cast("double") - m), without)).otherwise(given)
 
 
 def nearest(rows: DataFrame, searches: DataFrame, most: int, group: int = GROUP) -> DataFrame:

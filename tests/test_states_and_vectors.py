@@ -96,3 +96,24 @@ def test_scores_are_held_in_bounded_blocks(spark, monkeypatch):
     true = {(i, int(j)) for i in range(300) for j in np.argsort(-scores[i], kind="stable")[:7]}
     monkeypatch.setattr(V, "CELLS", 1000)
     assert {(r.query_id, r.vec_id) for r in V.nearest(rows, rows, 7).collect()} == true
+
+
+def test_correction_grows_with_the_length_of_vectors(spark):
+    """What a whole vector shares is worked out once, not for each of its elements (for 384, minutes)."""
+    import time
+
+    from tessera.operators.vectors import corrected
+
+    rng = np.random.default_rng(5)
+    mean, direction = rng.normal(size=384), rng.normal(size=384)
+    direction /= np.linalg.norm(direction)
+    vectors = {i: rng.normal(size=384) for i in range(64)}
+    odd = {100: None, 101: [1.0], 102: [None] + [1.0] * 383, 103: mean.tolist(), 104: []}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + list(odd.items()), "vec_id long, embedding array<double>").repartition(4)
+    began = time.perf_counter()
+    got = {r.vec_id: r.v for r in rows.select("vec_id", corrected(F.col("embedding"), mean, direction).alias("v")).collect()}
+    assert time.perf_counter() - began < 30
+    assert len(got) == 69 and {i: got[i] for i in odd} == odd
+    for i, v in vectors.items():
+        left = v - mean - ((v - mean) @ direction) * direction
+        assert np.allclose(got[i], left / np.linalg.norm(left), atol=1e-12)
